@@ -60,7 +60,7 @@ class Shingler:
         for w in set(tokens):
             if w not in known:
                 known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter((known[w] for w in tokens), np.uint64, len(tokens))
+        return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = words(text)
