@@ -3,12 +3,13 @@
 ``link`` takes (key, id) bucket memberships and a ``verify`` function that
 confirms candidate pairs exactly.  It never emits all pairs of a bucket:
 
-* first every member meets the smallest id of its bucket (a star) and its
-  predecessor (a chain) - two candidate pairs a row, whatever the bucket size;
+* first every member meets the centre of its bucket (a star) and its neighbour
+  (a chain) - two candidate pairs a row, whatever the bucket size;
 * then only buckets that still hold members of different components are looked
-  at again, with a geometrically growing block of pivots, and only pairs from
-  different components are compared.  Pairs inside one component can add
-  nothing to the result, so no link that matters is lost.
+  at again, and only pairs from different components are compared: by the
+  caller's ``refine``, or with a geometrically growing block of pivots.  Pairs
+  inside one component can add nothing to the result, so no link that matters
+  is lost.
 
 Everything is joins and grouped aggregation; state between rounds is cut with
 a checkpoint, and nothing is collected but single counts.
@@ -52,36 +53,47 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], block: int = 8) -> DataFrame:
+def mixed(members: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(key, id, label) of the buckets of more than ``least`` members that hold
+    members of different components."""
+    labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where(f"lo <> hi and n > {least}").select("key")
+    return labelled.join(keys, "key", "left_semi")
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None, block: int = 8) -> DataFrame:
     """(id, label) of every id that ``verify`` linked to another one.
 
     members: key long, id long, distinct; read once, only buckets of two or more
     are kept.
-    verify: takes distinct candidate pairs (a < b), returns the confirmed ones.
+    verify: takes distinct candidate pairs (a, b), returns the confirmed ones.
+    refine: takes the members (key, id, label) of mixed buckets and returns all
+    pairs of different labels that may be links; without it pivots are used.
     """
-    by_key = Window.partitionBy("key").orderBy("id")
-    ranked = members.select("key", "id", F.first("id").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("id").over(by_key).alias("before"), F.lead("id").over(by_key).alias("after"))
-    ranked = durable(ranked.where("before is not null or after is not null"))
-    members = ranked.select("key", "id")
-    pairs = ranked.where("id <> head").select(F.explode(F.array_distinct(F.array("head", "before"))).alias("a"), F.col("id").alias("b")).distinct()
+    by_id = Window.partitionBy("key").orderBy("id")
+    near = members.select("key", "id", F.lag("id").over(by_id).alias("before"), F.lead("id").over(by_id).alias("after"))
+    members = durable(near.where("before is not null or after is not null").select("key", "id"))
+    # The member that meets most others in its buckets is the star's centre: of
+    # edited copies that is the text that they were made from.
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    weights = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight"))
+    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
+    ranked = members.join(weights, "id").select("key", "id", F.first("id").over(by_weight.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("id").over(by_weight).alias("before"))
+    pairs = ranked.where("id <> head").select(F.explode(F.array_distinct(F.array("head", "before"))).alias("o"), "id").select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
     edges = durable(verify(pairs))
     found = durable(components(edges))
-    done = 1
-    open_keys = durable(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 3").select("key"))
+    if refine is not None:
+        more = durable(refine(mixed(members, found, 2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return found if more.isEmpty() else durable(components(edges.unionByName(verify(more))))
+    done, open_keys = 0, sizes.where("n > 2").select("key")
     while True:
-        labelled = members.join(open_keys, "key", "left_semi").join(found, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where(f"lo <> hi and n > {done + 1}").select("key")
-        rows = durable(labelled.join(mixed, "key", "left_semi"))
-        ranks = rows.withColumn("r", F.row_number().over(by_key))
+        rows = durable(mixed(members.join(open_keys, "key", "left_semi"), found, done + 1))
+        ranks = rows.withColumn("r", F.row_number().over(by_id))
         pivots = ranks.where(F.col("r").between(done + 1, done + block)).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("r").alias("ra"))
-        pairs = ranks.join(pivots, "key").where("r > ra and label <> la").select("a", F.col("id").alias("b")).distinct()
-        pairs = durable(pairs)
-        done += block
-        block *= 8
-        if pairs.isEmpty():
-            if rows.isEmpty() or ranks.where(f"r > {done + 1}").isEmpty():
-                return found
-        else:
-            edges = durable(edges.unionByName(verify(pairs)))
-            found = durable(components(edges))
+        pairs = durable(ranks.join(pivots, "key").where("r > ra and label <> la").select("a", F.col("id").alias("b")).distinct())
+        if pairs.isEmpty() and ranks.where(f"r > {done + block + 1}").isEmpty():
+            return found
+        edges = durable(edges.unionByName(verify(pairs)))
+        found = durable(components(edges))
+        done, block = done + block, 8 * block
         open_keys = rows.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {done + 1}").select("key")

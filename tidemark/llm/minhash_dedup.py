@@ -6,8 +6,12 @@ that reached it, and from round t on all shingles go to bin i - t, so that
 every one of the t coordinates is filled after 2t rounds at most.  Two sets
 agree in a coordinate with probability equal to their Jaccard similarity, with
 the concentration of t independent draws, at the cost of about two passes over
-the set.  Coordinates are banded, members of a bucket are linked by
-``linking.link``, and every candidate pair is confirmed on its full sets.
+the set.  The first ``BANDS * ROWS`` coordinates are banded and members of a
+bucket are linked by ``linking.link``; where a bucket stays divided, members
+of different components whose whole sketches agree in ``LEAST`` of the
+coordinates (four standard deviations under the threshold) meet as well.  Every
+candidate pair is confirmed on its full sets.  Large buckets are compared in
+blocks of about ``BLOCK`` rows.
 
 Defined results: null or blank text has an empty set and is linked with
 nothing; fewer words than a shingle make one shingle of the whole; repeated
@@ -28,8 +32,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import durable, table
 from tidemark.llm.linking import link
 
-BANDS, ROWS = 32, 4
-SIZE = BANDS * ROWS
+BANDS, ROWS = 48, 6
+SIZE = 512
+BLOCK = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(2**64 - 1)
 CHUNK = 256
@@ -97,9 +102,9 @@ def sketches(sets: list[np.ndarray], size: int = SIZE) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     with np.errstate(over="ignore"):
-        grouped = sketch.reshape(len(sketch), bands, -1)
+        grouped = sketch[:, : bands * rows].reshape(len(sketch), bands, rows)
         key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * MIX, grouped.shape[:2]).copy()
         for j in range(grouped.shape[2]):
             key = mix(key * MIX + grouped[:, :, j])
@@ -107,7 +112,8 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def signer(width: int, id_col: str, text_col: str):
-    """Rows of (id, n_shingles, s1, s2, keys): s1 and s2 name the set."""
+    """Rows of (id, n_shingles, s1, s2, keys, sketch): s1 and s2 name the set;
+    keys are the band keys as 64-bit, sketch the low bytes of the coordinates."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
@@ -116,17 +122,62 @@ def signer(width: int, id_col: str, text_col: str):
                 part = batch.iloc[start : start + CHUNK]
                 sets = [shingle(t) for t in part[text_col]]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys: list = [[] for _ in sets]
-                for i, row in zip(full, band_keys(sketches([sets[i] for i in full])), strict=True):
-                    keys[i] = row
+                keys, low = [b""] * len(sets), [b""] * len(sets)
+                sketch = sketches([sets[i] for i in full])
+                for i, k, s in zip(full, band_keys(sketch), sketch.astype(np.uint8), strict=True):
+                    keys[i], low[i] = k.tobytes(), s.tobytes()
                 with np.errstate(over="ignore"):
                     s1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
                     s2 = [int(mix(s ^ MIX).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                yield pd.DataFrame({"id": part[id_col].to_numpy(), "n_shingles": [len(s) for s in sets], "s1": s1, "s2": s2, "keys": keys})
+                yield pd.DataFrame({"id": part[id_col].to_numpy(), "n_shingles": [len(s) for s in sets], "s1": s1, "s2": s2, "keys": keys, "sketch": low})
 
     return sign
 
 
+def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, id) members of (id, keys)."""
+    for batch in batches:
+        keys = [np.unique(np.frombuffer(k, np.int64)) for k in batch["keys"]]
+        yield pd.DataFrame({"key": np.concatenate(keys), "id": np.repeat(batch["id"].to_numpy(), [len(k) for k in keys])})
+
+
+def comparer(percent: int):
+    """Pairs (a, b) of different labels within a block pair (key, i, j) whose
+    sketches agree enough, each in the first bucket that the two share."""
+    share = percent / 100
+    least = share - 4 * (share * (1 - share) / SIZE) ** 0.5
+
+    def pairs(group: pd.DataFrame) -> list[tuple[int, int]]:
+        key, i, j = group["key"].iloc[0], group["i"].iloc[0], group["j"].iloc[0]
+        ids, labels, blocks = (group[c].to_numpy() for c in ("id", "label", "blk"))
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(ids), SIZE)
+        keys = np.frombuffer(b"".join(group["keys"]), np.int64).reshape(len(ids), BANDS)
+        values, counts = np.unique(labels, return_counts=True)
+        large = labels == values[counts.argmax()]
+        out = []
+        for x in np.flatnonzero(~large):
+            others = (labels != labels[x]) & (large | (ids > ids[x])) & ((blocks != blocks[x]) if i != j else True)
+            y = np.flatnonzero(others)
+            y = y[(sketch[y] == sketch[x]).mean(axis=1) >= least]
+            if len(y):
+                same = keys[y] == keys[x]
+                y = y[keys[x][same.argmax(axis=1)] == key]
+                out += [(int(ids[x]), int(ids[z])) for z in y]
+        return out
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            groups = [g for _, g in batch.groupby(["key", "i", "j"], sort=False)]
+            rest = groups.pop()
+            yield pd.DataFrame([p for g in groups for p in pairs(g)], columns=["a", "b"], dtype="int64")
+        if rest is not None:
+            yield pd.DataFrame(pairs(rest), columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
 def verifier(width: int, percent: int):
     """Of rows (a, b, ta, tb) those with 100 * |A and B| >= percent * |A or B|."""
 
@@ -156,25 +207,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Documents with equal sets are one node, named by their smallest id, so that
     thousands of copies cost one signature in the buckets."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = durable(rows.mapInPandas(signer(width, "id", "text"), "id long, n_shingles long, s1 long, s2 long, keys array<long>"))
+    signed = durable(rows.mapInPandas(signer(width, "id", "text"), "id long, n_shingles long, s1 long, s2 long, keys binary, sketch binary"))
     nodes = (
         signed.where("n_shingles > 0 and id is not null")
         .groupBy("s1", "s2", "n_shingles")
-        .agg(F.min(F.struct("id", "keys")).alias("rep"))
-        .select("s1", "s2", "n_shingles", "rep.id", "rep.keys")
+        .agg(F.min(F.struct("id", "keys", "sketch")).alias("rep"))
+        .select("rep.id", "rep.keys", "rep.sketch")
     )
 
+    def refine(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        dealt = rows.join(sizes, "key").withColumn("blk", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+        dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "id", "label", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+        full = dealt.join(nodes, "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+        return full.mapInPandas(comparer(percent), "a long, b long")
+
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = durable(rows.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return both.mapInPandas(verifier(width, percent), "a long, b long")
 
-    members = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
-    labels = link(members, verify)
+    members = nodes.select("id", "keys").mapInPandas(unpack, "key long, id long")
+    labels = link(members, verify, refine)
     named = signed.where("n_shingles > 0 and id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep"))
     named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("label", "rep").alias("component"))
-    out = signed.drop("keys").join(named, (F.col("n_shingles") == F.col("n")) & (signed.s1 == named.s1) & (signed.s2 == named.s2) & F.col("id").isNotNull(), "left")
+    out = signed.drop("keys", "sketch").join(named, (F.col("n_shingles") == F.col("n")) & (signed.s1 == named.s1) & (signed.s2 == named.s2) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component", "id")
     return out.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
