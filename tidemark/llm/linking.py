@@ -61,7 +61,7 @@ def mixed(members: DataFrame, found: DataFrame, least: int) -> DataFrame:
     return labelled.join(keys, "key", "left_semi")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None, block: int = 8) -> DataFrame:
+def link(members: DataFrame, verify: Callable[..., DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None, block: int = 8, load: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, label) of every id that ``verify`` linked to another one.
 
     members: key long, id long, distinct; read once, only buckets of two or more
@@ -69,10 +69,19 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: C
     verify: takes distinct candidate pairs (a, b), returns the confirmed ones.
     refine: takes the members (key, id, label) of mixed buckets and returns all
     pairs of different labels that may be links; without it pivots are used.
+    load: takes the ids (id) of all shared buckets and returns their rows, which
+    are written once and handed to every call of ``verify`` as second argument.
     """
     by_id = Window.partitionBy("key").orderBy("id")
     near = members.select("key", "id", F.lag("id").over(by_id).alias("before"), F.lead("id").over(by_id).alias("after"))
     members = durable(near.where("before is not null or after is not null").select("key", "id"))
+    confirm = verify
+    if load is not None:
+        rows_of = durable(load(members.select("id").distinct()))
+
+        def confirm(pairs: DataFrame) -> DataFrame:
+            return verify(pairs, rows_of)
+
     # The member that meets most others in its buckets is the star's centre: of
     # edited copies that is the text that they were made from.
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
@@ -80,11 +89,11 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: C
     by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
     ranked = members.join(weights, "id").select("key", "id", F.first("id").over(by_weight.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("id").over(by_weight).alias("before"))
     pairs = ranked.where("id <> head").select(F.explode(F.array_distinct(F.array("head", "before"))).alias("o"), "id").select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
-    edges = durable(verify(pairs))
+    edges = durable(confirm(pairs))
     found = durable(components(edges))
     if refine is not None:
         more = durable(refine(mixed(members, found, 2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        return found if more.isEmpty() else durable(components(edges.unionByName(verify(more))))
+        return found if more.isEmpty() else durable(components(edges.unionByName(confirm(more))))
     done, open_keys = 0, sizes.where("n > 2").select("key")
     while True:
         rows = durable(mixed(members.join(open_keys, "key", "left_semi"), found, done + 1))
@@ -93,7 +102,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: C
         pairs = durable(ranks.join(pivots, "key").where("r > ra and label <> la").select("a", F.col("id").alias("b")).distinct())
         if pairs.isEmpty() and ranks.where(f"r > {done + block + 1}").isEmpty():
             return found
-        edges = durable(edges.unionByName(verify(pairs)))
+        edges = durable(edges.unionByName(confirm(pairs)))
         found = durable(components(edges))
         done, block = done + block, 8 * block
         open_keys = rows.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {done + 1}").select("key")
