@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, remainder, table
+from tidemark.llm.common import durable, remainder, stored, table
 
 #: A term enters with at least this share of the training rows of label 1 ...
 SHARE = 0.005
@@ -291,7 +291,8 @@ class Model:
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``docs`` with ``held_out`` and ``score``; learns from ``labels``."""
-    model = Model(training(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
+    # Fitting passes over the training rows five times; the join is made once.
+    model = Model(stored(training(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col), "toxicity-training"))
     held = F.coalesce(remainder(F.col(id_col), 5) == 0, F.lit(True))
     return model.scores(docs.withColumn("held_out", held), id_col, text_col)
 
