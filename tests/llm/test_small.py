@@ -98,6 +98,24 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def line_sets(lines, width=8):
+    return [{x[i : i + width] for i in range(max(1, len(x) - width // 2 + 1))} for x in lines]
+
+
+def test_line_dedup_reads_whole_lines(spark):
+    lines = ["https://example.com/alpha", "https://example.org/omega", "invoice 2024-000000017 paid", "invoice 2024-000000018 paid", "andththwhes.", "andththwhwh."]
+    lines += ["這是第一行沒有空格的文字內容", "這是第一行沒有空格卻不同的句子", "ab", "abc", "😀😁😂🤣😃😄😅😆😉😊", "😀😁😂🤣😃😄😅😆😉😋"]
+    long = "".join(random.Random(4).choices("abcdef0123456789", k=120))
+    lines += [long, long[:60] + "_" + long[61:]]  # one character of 120: a near copy
+    sets = line_sets(lines)
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert pairs == [(len(lines) - 1, len(lines) - 2)]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(docs_of(spark, lines)).collect()}
+    assert got == {i: int(i < len(lines) - 1) for i in range(len(lines))}
+    hashed = spark.createDataFrame([(x,) for x in lines], "x string").select(F.size(line_dedup.shingles(F.col("x"), 8)).alias("n")).collect()
+    assert [r["n"] for r in hashed] == [len(s) for s in sets]
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     vocabulary = ["alpha", "beta", "gamma", "É", "don"]

@@ -1,13 +1,14 @@
 """Operator 8: fuzzy line dedup, in DataFrame functions only.
 
-A line is lower-cased and its ends are trimmed.  Its shingles are the ``SHINGLE`` characters that start at each word
-(they run on over spaces), so an edit touches the few shingles around it.  Its
+A line is lower-cased and its ends are trimmed.  Its shingles are the ``SHINGLE`` characters that start at every position, spaces
+or not; at the end of the line they get shorter, down to half of that, and a
+line shorter than that half is its own shingle.  Every character counts.  Its
 signature is the bottom-k MinHash of the shingle set: the ``SKETCH`` smallest
 shingle hashes.  Bands are runs of ``RUN`` neighbours in that sorted signature:
 among the smallest hashes of two lines' union each is common with probability
 J, so lines with J = 0.8 share a run with probability 0.997, with J = 0.9 0.9999.
 Candidates are confirmed by the exact
-Jaccard similarity of their full shingle sets, components come from
+Jaccard similarity of their full shingle sets (as 64-bit hashes), components come from
 ``linking``, and of each component the line that comes first (smallest doc_id,
 then position) stays.
 
@@ -39,8 +40,11 @@ def normal(line: Column) -> Column:
 
 
 def shingles(norm: Column, width: int) -> Column:
-    """Distinct character shingles of a normal line, one from each word start."""
-    return F.array_distinct(F.regexp_extract_all(norm, F.lit(rf"(?<!\S)(?=(\S.{{0,{width - 1}}}))"), F.lit(1)))
+    """Hashes of the distinct character shingles of a normal line, from every position."""
+    least = max(1, width // 2)
+    found = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{least},{width}}}))."), F.lit(1))
+    found = F.when(F.char_length(norm) < least, F.array(norm)).otherwise(found)
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,8 +69,7 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
     """(node, keep) for nodes linked to others: keep (_k, _h, pos) is the one
     occurrence that stays for the whole component.  ``places`` has the first
     occurrence of every node."""
-    hashes = F.transform(shingles(F.col("norm"), width), lambda s: F.xxhash64(s))
-    signed = texts_of(docs, places, id_col, text_col).select("node", F.slice(F.sort_array(hashes), 1, sketch).alias("sig"))
+    signed = texts_of(docs, places, id_col, text_col).select("node", F.slice(F.sort_array(shingles(F.col("norm"), width)), 1, sketch).alias("sig"))
     runs = F.expr(f"transform(sequence(1, greatest(size(sig) - {RUN - 1}, 1)), i -> xxhash64(slice(sig, i, {RUN})))")
     members = signed.select(F.explode(runs).alias("key"), F.col("node").alias("id"))
 
@@ -76,10 +79,17 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
     def verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
         candidates = durable(candidates)
         ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = texts.join(ends, "node", "left_semi").select("node", shingles(F.col("norm"), width).alias("set"))
-        both = candidates.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        # The texts meet, not the sets, which hold a hash for every character.
+        sides = texts.join(ends, "node", "left_semi")
+        both = candidates.join(sides.select(F.col("node").alias("a"), F.col("norm").alias("ta")), "a").join(sides.select(F.col("node").alias("b"), F.col("norm").alias("tb")), "b")
+        sets = F.struct(shingles(F.col("ta"), width).alias("a"), shingles(F.col("tb"), width).alias("b"))
+
+        def alike(s: Column) -> Column:
+            common = F.size(F.array_intersect(s["a"], s["b"]))
+            return (100 + percent) * common >= percent * (F.size(s["a"]) + F.size(s["b"]))
+
+        # Bound to a lambda, so that each set is made once a pair.
+        return both.where(F.exists(F.array(sets), alike)).select("a", "b")
 
     labels = link(members, verify, load=load)
     labelled = durable(places.select("node", "first").join(labels.withColumnRenamed("id", "node"), "node"))
