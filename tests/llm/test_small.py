@@ -116,6 +116,25 @@ def test_line_dedup_reads_whole_lines(spark):
     assert [r["n"] for r in hashed] == [len(s) for s in sets]
 
 
+def test_line_dedup_recall(spark):
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    short = [line(7) for _ in range(60)]  # 4 shingles inside 5: J = 0.8
+    lines = [x for s in short for x in (s, "_" + s)] + ["the quick brown fox jumps", "The  quick\tbrown   fox jumps "]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(docs_of(spark, lines)).collect()}
+    assert got == {i: 1 - i % 2 for i in range(len(lines))}
+    sets = []
+    for size in [*range(1, 25)] * 20 + [60] * 4000:
+        a = [rng.getrandbits(62) for _ in range(size)]
+        cut = rng.randint(0, size - math.ceil(0.8 * size))  # both sides together keep J >= 0.8
+        b = a[cut:] + [rng.getrandbits(62) for _ in range(int((size - cut) / 0.8 - size))]
+        assert 10 * len({*a} & {*b}) >= 8 * len({*a} | {*b})
+        sets.append((sorted(a), sorted(b)))
+    keys = spark.createDataFrame(sets, "a array<bigint>, b array<bigint>").select(F.size("a").alias("n"), *[line_dedup.band_keys(F.col(c), 14, 80).alias(c) for c in "ab"])
+    missed = [r["n"] for r in keys.where(~F.arrays_overlap("a", "b")).collect()]
+    assert set(missed) <= {60} and len(missed) <= 0.0005 * 4000
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     vocabulary = ["alpha", "beta", "gamma", "É", "don"]

@@ -1,12 +1,17 @@
 """Operator 8: fuzzy line dedup, in DataFrame functions only.
 
-A line is lower-cased and its ends are trimmed.  Its shingles are the ``SHINGLE`` characters that start at every position, spaces
+A line is lower-cased, its white space runs become one space and its ends are
+trimmed.  Its shingles are the ``SHINGLE`` characters that start at every position, spaces
 or not; at the end of the line they get shorter, down to half of that, and a
 line shorter than that half is its own shingle.  Every character counts.  Its
 signature is the bottom-k MinHash of the shingle set: the ``SKETCH`` smallest
-shingle hashes.  Bands are runs of ``RUN`` neighbours in that sorted signature:
-among the smallest hashes of two lines' union each is common with probability
-J, so lines with J = 0.8 share a run with probability 0.997, with J = 0.9 0.9999.
+shingle hashes.  Bands are neighbouring pairs of that sorted signature: among
+the smallest hashes of two lines' union each is common with probability J, so
+two lines with J = 0.8 fail to share a pair of neighbours with a probability
+below 0.0005, and J = 0.9 below 0.00001.  Sets of fewer than ``SKETCH`` shingles,
+and those that can match them, meet by single hashes instead: with J = 0.8 two
+sets share one of their smallest n - 0.8 n + 1 hashes, so no pair is missed; the
+size of the larger set is part of the key, as the smaller has at least 0.8 of it.
 Candidates are confirmed by the exact
 Jaccard similarity of their full shingle sets (as 64-bit hashes), components come from
 ``linking``, and of each component the line that comes first (smallest doc_id,
@@ -30,13 +35,12 @@ from tidemark.llm.common import durable, row_key, table
 from tidemark.llm.linking import link
 
 SHINGLE = 8
-SKETCH = 18
-RUN = 3
+SKETCH = 14
 PERCENT = 80
 
 
 def normal(line: Column) -> Column:
-    return F.btrim(F.lower(line), F.lit(" \t\r"))
+    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
 
 
 def shingles(norm: Column, width: int) -> Column:
@@ -65,13 +69,23 @@ def texts_of(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) ->
     return found.select("w.node", normal(F.get("parts", F.col("w.pos"))).alias("norm"))
 
 
+def band_keys(hashes: Column, sketch: int, percent: int) -> Column:
+    """Keys under which a set of shingles, as its sorted hashes, meets others."""
+    n = F.size(hashes)
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(sketch - 1)), lambda i: F.xxhash64(F.slice(hashes, i, 2)))
+    most = 100 * (sketch - 1) // percent  # the largest set that can match one of fewer than ``sketch``
+    head = F.slice(hashes, F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    sizes = F.sequence(n, F.least(F.floor(n * 100 / percent).cast("int"), F.lit(most)))
+    single = F.flatten(F.transform(sizes, lambda m: F.transform(head, lambda h: F.xxhash64(F.lit("single"), m, h))))
+    return F.array_distinct(F.when(n > most, pairs).when(n >= sketch, F.concat(pairs, single)).otherwise(single))
+
+
 def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, sketch: int = SKETCH, percent: int = PERCENT) -> DataFrame:
     """(node, keep) for nodes linked to others: keep (_k, _h, pos) is the one
     occurrence that stays for the whole component.  ``places`` has the first
     occurrence of every node."""
-    signed = texts_of(docs, places, id_col, text_col).select("node", F.slice(F.sort_array(shingles(F.col("norm"), width)), 1, sketch).alias("sig"))
-    runs = F.expr(f"transform(sequence(1, greatest(size(sig) - {RUN - 1}, 1)), i -> xxhash64(slice(sig, i, {RUN})))")
-    members = signed.select(F.explode(runs).alias("key"), F.col("node").alias("id"))
+    signed = texts_of(docs, places, id_col, text_col).select("node", F.sort_array(shingles(F.col("norm"), width)).alias("all"))
+    members = signed.select(F.explode(band_keys(F.col("all"), sketch, percent)).alias("key"), F.col("node").alias("id"))
 
     def load(ids: DataFrame) -> DataFrame:
         return texts_of(docs, places.join(ids.withColumnRenamed("id", "node"), "node", "left_semi"), id_col, text_col)
