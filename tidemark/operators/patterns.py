@@ -1,10 +1,14 @@
 """Window shapes, historical matches and scans.  Shape vectors are z-scores of
 the last ``size`` closes; similarity is the cosine; both are this library's own
-contract.  The top-1 search is blocked by cluster, so a query meets the events
-of its cluster only."""
+contract.  The top-1 search of a scan is blocked by cluster, so a query meets the
+events of its cluster only; ``nearest`` meets all vectors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,9 +108,39 @@ def status_counts(scans: DataFrame) -> DataFrame:
 
 def top_cosine(vectors: DataFrame, every: int = 20) -> DataFrame:
     """(vec_id, match_id, similarity): the nearest other vector of each query
-    (ids divisible by ``every``) in its own label block."""
+    (ids divisible by ``every``) in its own label block; ``nearest`` searches all."""
     unit = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     q = unit.where(F.col("vec_id") % every == 0).select("label", F.col("vec_id").alias("q"), F.col("v").alias("qv"))
     pairs = unit.join(q, "label").where("vec_id <> q").select("q", "vec_id", F.round(cosine("qv", "v"), 4).alias("similarity"))
     best = pairs.groupBy("q").agg(F.max(F.struct("similarity", (-F.col("vec_id")).alias("m"))).alias("b"))
     return best.select(F.col("q").alias("vec_id"), (-F.col("b.m")).alias("match_id"), F.col("b.similarity").alias("similarity"))
+
+
+def nearest(vectors: DataFrame, every: int = 20, block: int = 1024) -> DataFrame:
+    """(vec_id, match_id, similarity): the nearest other vector of each query
+    (ids divisible by ``every``) among all vectors, whatever their labels; ties
+    go to the smaller id.  Queries and vectors are dealt into blocks of about
+    ``block``; every block of queries meets every block of vectors and keeps
+    one row a query, so pairs are never shuffled.  Vectors that are null or of
+    length 0 have no similarity and match nothing."""
+    rows = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & (dot("v", "v") > 0))
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        n = -(-side.count() // block) or 1
+        return side.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(name)).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q, e, qv, ev in zip(batch["q_ids"], batch["e_ids"], batch["q_v"], batch["e_v"], strict=True):
+                order = np.argsort(e, kind="stable")
+                e, ev, qv = np.asarray(e)[order], np.asarray(ev).reshape(len(e), -1)[order], np.asarray(qv).reshape(len(q), -1)
+                found = np.round(qv @ ev.T / np.sqrt(np.outer((qv * qv).sum(1), (ev * ev).sum(1))), 4)
+                found[np.asarray(q)[:, None] == e[None, :]] = -np.inf
+                at = found.argmax(1)  # the first, so the smaller id
+                out = pd.DataFrame({"vec_id": q, "match_id": e[at], "similarity": found[np.arange(len(q)), at]})
+                yield out[np.isfinite(out["similarity"])]
+
+    pairs = blocks(rows.where(F.col("vec_id") % every == 0), "q").crossJoin(blocks(rows, "e"))
+    kept = pairs.select("q_ids", "e_ids", "q_v", "e_v").mapInPandas(best, "vec_id long, match_id long, similarity double")
+    top = kept.groupBy("vec_id").agg(F.max(F.struct("similarity", (-F.col("match_id")).alias("m"))).alias("b"))
+    return top.select("vec_id", (-F.col("b.m")).alias("match_id"), F.col("b.similarity").alias("similarity"))

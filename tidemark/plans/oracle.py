@@ -94,5 +94,8 @@ SELECT symbol, type, round(win_rate, 1) AS win_rate, ratio, round(t, 2) AS targe
 SELECT symbol, date, round((f - m) / sd, 4) AS first, round((close - m) / sd, 4) AS last FROM s WHERE n = 30 AND sd > 0""",
         "embedding_top1": """WITH p AS (SELECT q.vec_id AS vec_id, e.vec_id AS match_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS similarity
  FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT vec_id, match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, match_id) AS r FROM p) WHERE r = 1""",
+        "embedding_top1_all": """WITH p AS (SELECT q.vec_id AS vec_id, e.vec_id AS match_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS similarity
+ FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
 SELECT vec_id, match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, match_id) AS r FROM p) WHERE r = 1""",
     }

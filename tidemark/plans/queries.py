@@ -154,6 +154,7 @@ def queries() -> dict[str, Query]:
         "open_wave": lambda s, d: waves.open_wave(zigzag(s, d), src.order_index(s, d)),
         "window_shape": window_shape,
         "embedding_top1": lambda s, d: patterns.top_cosine(s.read.parquet(f"{d}/embeddings.parquet")),
+        "embedding_top1_all": lambda s, d: patterns.nearest(s.read.parquet(f"{d}/embeddings.parquet")),
         "pattern_scan": lambda s, d: scans(s, d).select("period", "symbol", "date", "direction", "pattern", "similarity", "match_symbol", "match_date", "match_move", "status"),
         "pattern_status": lambda s, d: patterns.status_counts(scans(s, d)),
         "pattern_top": lambda s, d: patterns.top_per_list(scans(s, d)).select("period", "direction", "rank", "symbol", "similarity"),
