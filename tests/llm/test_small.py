@@ -195,6 +195,27 @@ def test_toxicity(spark):
     assert [near(w) for w in ("idiot", "idiiot", "idot", "idiut", "idoit")] == [("idiot", 0), ("idiot", 1), ("idiot", 1), ("idiot", 1), None]
 
 
+def test_toxicity_at_size(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=7)) for _ in range(300)]
+    # one term in 12 of 3,000 toxic rows: fewer than one row in 200
+    texts = [" ".join(rng.sample(words, 8)) for _ in range(9000)]
+    texts = [f"{t} {'wazzock' if i < 12 else 'stupid'}" if i < 3000 else t for i, t in enumerate(texts)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, int(i < 3000)) for i in range(9000)], "doc_id long, toxic int")
+    train = toxicity.training(docs, labels, folds=10**9).cache()
+    assert set(toxicity.induce(train, 3000, 6000)[0]) == {"stupid", "wazzock"}
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 50)
+    assert set(toxicity.induce(train, 3000, 6000)[0]) == {"stupid", "wazzock"}
+
+
+def test_toxicity_inner_signs():
+    matcher = toxicity.Matcher(["idiot", "stupid", "damn"], [])
+    found = lambda t: [(m, c, q) for m, c, q in matcher(t)]
+    assert [m for m, _, _ in found("an id1ot, st*pid d*mn! damm dog")] == ["idiot/1", "stupid/1", "damn/1", "damn/1"]
+    assert found("a idiot@home b2b") == [("idiot/0", ["a", "home", "b", "b"], False)]
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = [rng.random() < 0.6 for _ in range(300)]

@@ -2,13 +2,16 @@
 
 1. Lexicon: over all labelled training rows, grouped counts of documents per
    term and label.  Terms are words and word stems (the first 4 or 5 letters).
-   Those that clearly lean to label 1 are candidates; a greedy cover of the
-   rows of label 1 picks those that stand in rows which few others explain, so
-   the chance words of one often copied document hardly enter.  The cover is fit on
-   ``FIT_ROWS`` rows of label 1 at most, in the order of a hash.
+   Those that lean to label 1 significantly are candidates, at any size of the
+   corpus from the same ``SUPPORT`` on; a greedy cover of the rows of label 1 picks
+   those that stand in rows which few others explain, so the chance words of one
+   often copied document hardly enter.  The cover is fit on ``FIT_ROWS`` rows of
+   label 1 at most, in the order of a hash; of the candidates that it left, all
+   that still pass over all rows with few picked terms come in as well.
 2. Match: every word of a text runs as an automaton with one edit (insertion,
    deletion, substitution) against the trie of lexicon words, so misspelled
-   terms are caught; stems match exactly.  A worker remembers words it has met.
+   terms are caught, also those with digits or signs inside (id1ot, st*pid);
+   stems match exactly.  A worker remembers words it has met.
 3. Context: the words within ``SPAN`` of a match and quotation marks around it
    carry learned log-odds, which separate quoting from abuse.  Grouped counts
    per (term, distance) and per context word give those weights.
@@ -35,12 +38,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, remainder, stored, table
 
-#: A term enters with at least this share of the training rows of label 1 ...
-SHARE = 0.005
-#: ... and this log-odds for label 1.
+#: A term enters with at least so many training rows of label 1 ...
+SUPPORT = 5
+#: ... this log-odds for label 1 ...
 LEAN = 2.0
-#: Lexicon terms and context words that a model holds at most, by support.
-TERMS, CONTEXT_WORDS = 2_000, 5_000
+#: ... and this likelihood ratio (chi-square, one degree; about one in a million by chance).
+RATIO = 24.0
 #: Rows of label 1 on which the cover is fit at most.
 FIT_ROWS = 20_000
 #: A row of label 1 asks for terms until so many of its own are in.
@@ -51,6 +54,8 @@ WEIGHT = 1.0
 SPAN = 3
 QUOTES = "\"'“”„«»‘’`"
 WORD = re.compile(r"[^\W\d_]+")
+#: Words that run on over inner digits and signs.
+WIDE = re.compile(r"[^\W\d_]+(?:[\d*@$!#%&+_|]{1,2}[^\W\d_]+)*")
 EVIDENCE = ["best", "total", "matches", "quoted"]
 
 
@@ -64,6 +69,13 @@ def lean(n1: Column, n0: Column, all1: int, all0: int) -> Column:
     return F.log((n1 + 0.5) / (all1 + 1.0)) - F.log((n0 + 0.5) / (all0 + 1.0))
 
 
+def ratio(n1: Column, n0: Column, all1: int, all0: int) -> Column:
+    """Log-likelihood ratio of a term's rows against the labels' totals."""
+    part = lambda n, of: F.when(n > 0, n * F.log(n / ((n1 + n0) * F.lit(of / (all1 + all0))))).otherwise(0.0)
+    rest = lambda n, of: F.when(n < of, (of - n) * F.log((of - n) / ((all1 + all0 - n1 - n0) * F.lit(of / (all1 + all0))))).otherwise(0.0)
+    return 2 * (part(n1, all1) + part(n0, all0) + rest(n1, all1) + rest(n0, all0))
+
+
 class Trie:
     """Lexicon words with the positions of their ends."""
 
@@ -105,7 +117,9 @@ class Trie:
 class Matcher:
     def __init__(self, words: list[str], stems: list[str], most: int = 400_000):
         self.exact, self.stems = set(words), set(stems)
-        self.trie = Trie([w for w in words if len(w) >= 5])  # one edit of a short word is too often another word
+        # One edit of a short word is often another word; what it means is learned, as term/1.
+        self.trie = Trie([w for w in words if len(w) >= 4])
+        self.wide = Trie(words)
         self.most, self.known = most, {}
 
     def word(self, w: str) -> str | None:
@@ -115,7 +129,8 @@ class Matcher:
         for n in (4, 5):
             if w[:n] in self.stems:
                 return w[:n] + "*/0"
-        if found := self.trie.near(w) if len(w) >= 4 else None:
+        plain = w.isalpha()
+        if found := (self.trie if plain else self.wide).near(w) if len(w) >= 3 else None:
             return f"{found[0]}/{found[1]}"
         return None
 
@@ -123,19 +138,28 @@ class Matcher:
         """(match, context words, quoted) for every match of the whole text."""
         text = text or ""
         lower = text.lower()
-        tokens = WORD.findall(lower)
+        tokens = set(WIDE.findall(lower))
         known = self.known
         if len(known) > self.most:
             known.clear()
-        some = set()
-        for w in set(tokens):
+        # What is no term with its digits and signs is read as the words between them.
+        apart = set()
+        for w in tokens:
             if w not in known:
                 known[w] = self.word(w)
-            if known[w]:
-                some.add(w)
-        if not some:
+            if not known[w] and not w.isalpha():
+                apart.add(w)
+        for w in {p for w in apart for p in WORD.findall(w)} - tokens:
+            tokens.add(w)
+            if w not in known:
+                known[w] = self.word(w)
+        if not any(known[w] for w in tokens):
             return []
-        spans = {i: m.span() for i, m in enumerate(WORD.finditer(lower)) if m[0] in some}
+        places = []
+        for m in WIDE.finditer(lower):
+            places += WORD.finditer(lower, *m.span()) if m[0] in apart else [m]
+        tokens = [m[0] for m in places]
+        spans = {i: m.span() for i, m in enumerate(places) if known[m[0]]}
         out = []
         for i, (a, b) in spans.items():
             context = tokens[max(0, i - SPAN) : i] + tokens[i + 1 : i + 1 + SPAN]
@@ -196,31 +220,55 @@ def induce(train: DataFrame, n1: int, n0: int) -> tuple[list[str], list[str]]:
     """Words and stems of the lexicon."""
     words = train.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where("length(w) >= 3")
     terms = words.select("toxic", F.explode(F.expr("array(w, if(length(w) > 4, concat(left(w, 4), '*'), null), if(length(w) > 5, concat(left(w, 5), '*'), null))")).alias("term"))
-    counted = label_counts(terms.where("term is not null"), "term").withColumn("lean", lean(F.col("n1"), F.col("n0"), n1, n0))
-    least = max(2.0, SHARE * n1)
-    top = counted.where((F.col("n1") >= least) & (F.col("lean") >= LEAN))
-    support = {r["term"]: r["n1"] for r in top.orderBy(F.desc("n1"), "term").limit(3 * TERMS).collect()}
-    lone = {s for s in support if s.endswith("*") and any(not t.endswith("*") and t.startswith(s[:-1]) and support[t] >= 0.8 * support[s] for t in support)}
-    support = {t: n for t, n in support.items() if t not in lone}
+    counted = label_counts(terms.where("term is not null"), "term")
+
+    def leaning(rows: DataFrame) -> DataFrame:
+        a, b = F.col("n1"), F.col("n0")
+        return rows.where((a >= SUPPORT) & (lean(a, b, n1, n0) >= LEAN) & (ratio(a, b, n1, n0) >= RATIO))
+
+    top = {r["term"]: (r["n1"], r["n0"]) for r in leaning(counted).orderBy(F.desc("n1"), "term").collect()}
+    support = {t: n for t, (n, _) in top.items()}
+    most: dict[str, int] = {}  # support of the best word under a stem
+    for t, n in support.items():
+        if not t.endswith("*"):
+            for k in (4, 5):
+                most[t[:k]] = max(n, most.get(t[:k], 0))
+    support = {t: n for t, n in support.items() if not t.endswith("*") or most.get(t[:-1], 0) < 0.8 * n}
     support = {t: n for t, n in support.items() if t.endswith("*") or not any(t[:k] + "*" in support for k in (4, 5))}
 
+    def terms_of(text: str) -> list[str]:
+        tokens = set(WORD.findall(text.lower()))
+        tokens |= {w[:n] + "*" for w in tokens for n in (4, 5) if len(w) > n}
+        return sorted(t for t in tokens if t in support)
+
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for text in batch["text"]:
-                tokens = set(WORD.findall(text.lower()))
-                tokens |= {w[:n] + "*" for w in tokens for n in (4, 5) if len(w) > n}
-                found.append(sorted(t for t in tokens if t in support))
-            yield pd.DataFrame({"terms": found})
-
-    sample = train.where("toxic = 1").orderBy(F.xxhash64("text")).limit(FIT_ROWS).select("text").mapInPandas(held, "terms array<string>").toPandas()
-    picked = cover([set(t) for t in sample["terms"]], support, max(2.0, SHARE * len(sample)))[:TERMS]
+            yield pd.DataFrame({"terms": [terms_of(text) for text in batch["text"]]})
+
+    toxic = train.where("toxic = 1")
+    sample = toxic.orderBy(F.xxhash64("text")).limit(FIT_ROWS).select("text").mapInPandas(held, "terms array<string>").toPandas()
+    picked = cover([set(t) for t in sample["terms"]], support, SUPPORT)
+    if n1 > len(sample) and len(picked) < len(support):
+        chosen = set(picked)
+
+        def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out: Counter = Counter()
+                for text in batch["text"]:
+                    found = set(terms_of(text))
+                    if len(found & chosen) < DEPTH:
+                        out.update(found - chosen)
+                yield pd.DataFrame(list(out.items()), columns=["term", "n"])
+
+        rest = toxic.select("text").mapInPandas(left, "term string, n long").groupBy("term").agg(F.sum("n").alias("n1"))
+        rest = rest.join(counted.select("term", "n0"), "term")
+        picked += [r["term"] for r in leaning(rest).orderBy(F.desc("n1"), "term").collect()]
     return [t for t in picked if not t.endswith("*")], [t[:-1] for t in picked if t.endswith("*")]
 
 
 class Model:
-    """What a fit learned; small (bounded by ``TERMS`` and ``CONTEXT_WORDS``),
-    so it travels with the task."""
+    """What a fit learned: the terms that pass and the words around them, a
+    part of the vocabulary, so it travels with the task."""
 
     def __init__(self, train: DataFrame):
         totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -243,8 +291,7 @@ class Model:
 
         seen = train.mapInPandas(matches, "kind string, what string, toxic int, n long")
         seen = durable(seen.groupBy("kind", "what").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("n1"), F.sum(F.expr("if(toxic = 1, 0, n)")).alias("n0")))
-        rows = seen.where("kind <> 'c'").orderBy(F.desc(F.col("n1") + F.col("n0")), "what").limit(4 * TERMS).collect()
-        rows += seen.where("kind = 'c' and n1 + n0 >= 5").orderBy(F.desc(F.col("n1") + F.col("n0")), "what").limit(CONTEXT_WORDS).collect()
+        rows = seen.where("kind <> 'c' or n1 + n0 >= 5").orderBy(F.desc(F.col("n1") + F.col("n0")), "what").collect()
         odds = lambda r, a, b: math.log((r["n1"] + 0.5) / (a + 1)) - math.log((r["n0"] + 0.5) / (b + 1))
         self.weights = {r["what"]: odds(r, n1, n0) for r in rows if r["kind"] == "m"}
         m1 = sum(r["n1"] for r in rows if r["kind"] == "q") or 1
