@@ -3,6 +3,8 @@ symbol.  ``i`` is a bar's position in its symbol, ``n`` the number of bars."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -18,19 +20,30 @@ def positions(bars: DataFrame) -> DataFrame:
     return bars.withColumn("i", F.row_number().over(by_date()) - 1).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
 
 
-def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
+def rsi(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame:
     """Wilder's RSI without a recursion: with weights that grow by p/(p-1) a
     bar, the smoothed averages are two prefix sums whose common decay cancels.
-    Holds to about 700 / ln(p/(p-1)) bars a symbol; ``rsi_long`` beyond."""
+    The weights start anew every ``size`` bars (fewer where they would overflow)
+    and the averages at the ends of the blocks are carried forward, so a series
+    may have any length."""
     k = F.col("i")
     change = F.col("close") - F.lag("close").over(by_date())
     grow = period / (period - 1) if period > 1 else 1.0
-    weight = F.when(k <= period, F.lit(1.0 / period)).otherwise(F.lit(1.0 / period) * F.pow(F.lit(grow), (k - period).cast("double")))
-    running = by_date().rowsBetween(Window.unboundedPreceding, 0)
-    rows = positions(bars).withColumn("_up", F.greatest(change, F.lit(0.0)) * weight).withColumn("_down", F.greatest(-change, F.lit(0.0)) * weight)
+    size = max(period + 1, min(size, int(300 / math.log(grow)))) if grow > 1 else size
+    since = F.when(F.col("_b") == 0, k - period).otherwise(k - F.col("_b") * size).cast("double")
+    weight = F.lit(1.0 / period) * F.when((F.col("_b") == 0) & (k <= period), 1.0).otherwise(F.pow(F.lit(grow), since))
+    running = Window.partitionBy("symbol", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = by_date().rowsBetween(Window.unboundedPreceding, -1)
+    rows = positions(bars).withColumn("_up", F.greatest(change, F.lit(0.0))).withColumn("_down", F.greatest(-change, F.lit(0.0))).withColumn("_b", F.floor(k / size))
+    rows = rows.withColumn("_up", F.col("_up") * weight).withColumn("_down", F.col("_down") * weight)
     rows = rows.withColumn("_g", F.sum("_up").over(running)).withColumn("_l", F.sum("_down").over(running))
+    last = F.pmod(k, F.lit(size)) == size - 1
+    for c in ("_g", "_l"):
+        ends = F.collect_list(F.when(last, F.col(c) / F.pow(F.lit(grow), since))).over(before)
+        rows = rows.withColumn(f"{c}c", F.aggregate(ends, F.lit(0.0), lambda s, x: s * F.lit(grow**-size) + x))
+    rows = rows.withColumn("_g", F.col("_g") + F.col("_gc") / grow).withColumn("_l", F.col("_l") + F.col("_lc") / grow)
     value = F.when(F.col("_l") == 0, 100.0).otherwise(F.round(100 * F.col("_g") / (F.col("_g") + F.col("_l")), 2))
-    return rows.withColumn("rsi", F.when(k >= period, value)).drop("_up", "_down", "_g", "_l")
+    return rows.withColumn("rsi", F.when(k >= period, value)).drop("_b", "_up", "_down", "_g", "_l", "_gc", "_lc")
 
 
 def rsi_long(bars: DataFrame, period: int = 14) -> DataFrame:
