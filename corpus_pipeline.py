@@ -69,8 +69,9 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Scores, sketches and token ids have no SQL; tests/llm holds the stages
-#: against brute-force versions.
+#: Scores, sketches and token ids have no SQL; tests/llm holds the operators
+#: under the stages against brute-force versions, and tests/llm/test_stages.py
+#: what the stages for lines, copies and benchmark passages keep.
 ORACLE_SQL = None
 
 
