@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_ID = -(2**63)
+#: Rows of a few dozen bytes that are broadcast at most; beyond, both sides of the join are shuffled.
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +26,16 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``.
+    """The folder that all executors see: ``spark.checkpoint.dir``, or the one
+    given to ``SparkContext.setCheckpointDir``.
 
-    Only where a session names none (tests on one machine) is one made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    Only a session on one machine (as in tests) may name none and gets one of
+    its own; on a cluster that is an error, as executors would not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = getattr(shared_dir, "made", None)
     if made is None or not os.path.isdir(made):
         made = shared_dir.made = tempfile.mkdtemp(prefix="spark-")
@@ -51,6 +58,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small_enough(rows: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether the rows may be broadcast; counts one more than allowed at most."""
+    return rows.limit(most + 1).count() <= most
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, mod n; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n

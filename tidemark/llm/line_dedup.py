@@ -4,15 +4,21 @@ A line is lower-cased, its white space runs become one space and its ends are
 trimmed.  Its shingles are the ``SHINGLE`` characters that start at every position, spaces
 or not; at the end of the line they get shorter, down to half of that, and a
 line shorter than that half is its own shingle.  Every character counts.  Its
-signature is the bottom-k MinHash of the shingle set: the ``SKETCH`` smallest
-shingle hashes.  Bands are neighbouring pairs of that sorted signature: among
+signature is the bottom-k MinHash of the shingle set: of the hashes of all its
+positions those under a bound that leaves about ``KEEP`` of them (all of a short
+line's), which are always the smallest ones, whatever the bound.  Bands are
+neighbouring pairs of the ``SKETCH`` smallest: among
 the smallest hashes of two lines' union each is common with probability J, so
 two lines with J = 0.8 fail to share a pair of neighbours with a probability
 below 0.0005, and J = 0.9 below 0.00001.  Sets of fewer than ``SKETCH`` shingles,
 and those that can match them, meet by single hashes instead: with J = 0.8 two
 sets share one of their smallest n - 0.8 n + 1 hashes, so no pair is missed; the
 size of the larger set is part of the key, as the smaller has at least 0.8 of it.
-Candidates are confirmed by the exact
+
+Positions are exploded and filtered in generated code, and only the hashes
+left are grouped by line.  Members of a bucket meet by ``linking``; a pair whose
+signatures agree in less than ``PLAUSIBLE`` of their common range (four standard
+deviations under J = 0.8) is no candidate.  Candidates are confirmed by the exact
 Jaccard similarity of their full shingle sets (as 64-bit hashes), components come from
 ``linking``, and of each component the line that comes first (smallest doc_id,
 then position) stays.
@@ -23,7 +29,8 @@ copies is one row there.
 Defined results: blank lines always stay and are never compared; a null or
 empty text has no lines to lose; a document that loses every line keeps its
 row with the text '' (``n_kept`` 0); repeated rows (same id and text) are
-treated alike; other columns pass through untouched.
+treated alike; other columns pass through untouched, whatever their names, but
+for ``n_lines`` and ``n_kept``, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,71 +38,128 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, row_key, table
+from tidemark.llm.common import row_key, small_enough, stored, table
 from tidemark.llm.linking import link
 
 SHINGLE = 8
 SKETCH = 14
+KEEP = 20
 PERCENT = 80
+PLAUSIBLE = 0.45
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
+    """Lower case, white space runs as one space, trimmed.  The regular
+    expression runs only over lines that have something to replace."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\n\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"\s{2,}|[^\S ]", " ")).otherwise(line)))
+
+
+def wide(norm: Column) -> Column:
+    """Four bytes a character, so that a shingle is found without a walk."""
+    return F.encode(norm, "UTF-32")
+
+
+def starts(u: Column, width: int) -> Column:
+    """Byte positions of the shingles in ``wide`` text."""
+    least = max(1, width // 2)
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(u) - 4 * least + 1), F.lit(4))
+
+
+def shingle_at(u: Column, i: Column, width: int) -> Column:
+    return F.xxhash64(F.substring(u, i, F.lit(4 * width)))
 
 
 def shingles(norm: Column, width: int) -> Column:
     """Hashes of the distinct character shingles of a normal line, from every position."""
-    least = max(1, width // 2)
-    found = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{least},{width}}}))."), F.lit(1))
-    found = F.when(F.char_length(norm) < least, F.array(norm)).otherwise(found)
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+    # Bound to a lambda, so that the wide text is made once.
+    whole = F.transform(F.array(wide(norm)), lambda u: F.transform(starts(u, width), lambda i: shingle_at(u, i, width)))
+    return F.array_distinct(F.get(whole, F.lit(0)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_k, _h, pos, norm, node) of every line that is not blank; ``node`` is a
     64-bit hash of the normal line."""
     rows = docs.select(*row_key(docs, id_col, text_col), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
-    rows = rows.select("_k", "_h", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
+    rows = rows.where(F.col("line").rlike(r"\S")).select("_k", "_h", "pos", normal(F.col("line")).alias("norm"))
     return rows.withColumn("node", F.xxhash64("norm"))
 
 
 def texts_of(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, norm) for every (node, first) of ``places``: documents meet the
-    positions wanted of them, so that no line is shuffled by itself."""
+    positions wanted of them, so that no line is shuffled by itself.  Few
+    positions are broadcast; else both sides are shuffled."""
     wanted = places.groupBy("first._k", "first._h").agg(F.collect_list(F.struct("first.pos", "node")).alias("wanted"))
-    # Repeated rows (same id and text) are one document here.
-    keyed = docs.select(*row_key(docs, id_col, text_col), F.col(text_col).alias("text")).groupBy("_k", "_h").agg(F.first("text").alias("text"))
+    keyed = docs.select(*row_key(docs, id_col, text_col), F.col(text_col).alias("text"))
+    if small_enough(places):
+        wanted = F.broadcast(wanted)
     found = keyed.join(wanted, ["_k", "_h"]).withColumn("parts", F.split("text", "\n")).select("parts", F.explode("wanted").alias("w"))
-    return found.select("w.node", normal(F.get("parts", F.col("w.pos"))).alias("norm"))
+    # Repeated rows (same id and text) are one document here.
+    return found.select("w.node", normal(F.get("parts", F.col("w.pos"))).alias("norm")).groupBy("node").agg(F.first("norm").alias("norm"))
 
 
-def band_keys(hashes: Column, sketch: int, percent: int) -> Column:
-    """Keys under which a set of shingles, as its sorted hashes, meets others."""
+def band_keys(hashes: Column, sketch: int, percent: int, whole: Column | None = None) -> Column:
+    """Keys under which a set of shingles, as its sorted hashes, meets others.
+    whole: whether these are all hashes of the set (the default) or only its
+    smallest ones."""
     n = F.size(hashes)
-    pairs = F.transform(F.sequence(F.lit(1), F.lit(sketch - 1)), lambda i: F.xxhash64(F.slice(hashes, i, 2)))
+    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.least(F.lit(sketch), n) - 1), lambda i: F.xxhash64(F.slice(hashes, i, 2)))).otherwise(F.array().cast("array<bigint>"))
     most = 100 * (sketch - 1) // percent  # the largest set that can match one of fewer than ``sketch``
-    head = F.slice(hashes, F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    sizes = F.sequence(n, F.least(F.floor(n * 100 / percent).cast("int"), F.lit(most)))
-    single = F.flatten(F.transform(sizes, lambda m: F.transform(head, lambda h: F.xxhash64(F.lit("single"), m, h))))
-    return F.array_distinct(F.when(n > most, pairs).when(n >= sketch, F.concat(pairs, single)).otherwise(single))
+    heads = max(m - -(-m * percent // 100) + 1 for m in range(1, most + 1))
 
+    def singles(head: Column, sizes: Column) -> Column:
+        return F.flatten(F.transform(sizes, lambda m: F.transform(head, lambda h: F.xxhash64(F.lit("single"), m, h.cast("long")))))
 
-def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, sketch: int = SKETCH, percent: int = PERCENT) -> DataFrame:
+    head = F.slice(hashes, F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    single = singles(head, F.sequence(n, F.least(F.floor(n * 100 / percent).cast("int"), F.lit(most))))
+    known = F.when(n > most, pairs).when(n >= sketch, F.concat(pairs, single)).otherwise(single)
+    if whole is not None:
+        # Of a part of the hashes, as few as a small set has: read as a set of any size from there on.
+        either = F.concat(pairs, singles(F.slice(hashes, 1, heads), F.sequence(n, F.lit(most))))
+        known = F.when(whole, known).when(n > most, pairs).otherwise(either)
+    return F.array_distinct(known)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, keep: int) -> DataFrame:
+    """(node, n, hashes) of every distinct line: n shingle positions, and the
+    upper halves of the smallest shingle hashes, about ``keep`` of them, sorted."""
+    lines = lines_of(docs, id_col, text_col).select("node", wide(F.col("norm")).alias("u"))
+    lines = lines.select("node", "u", F.greatest(F.lit(1), (F.length("u") / 4 - max(1, width // 2) + 1).cast("int")).alias("n"))
+    bound = F.when(F.col("n") <= keep, F.lit(2**31 - 1)).otherwise((F.lit(-(2.0**31)) + F.lit(2.0**32 * keep) / F.col("n")).cast("int"))
+    places = lines.select("node", "u", "n", bound.alias("bound")).select("node", "u", "n", "bound", F.explode(starts(F.col("u"), width)).alias("i"))
+    hashed = places.select("node", "n", "bound", F.shiftright(shingle_at(F.col("u"), F.col("i"), width), 32).cast("int").alias("h")).where("h <= bound")
+    return hashed.groupBy("node", "n").agg(F.sort_array(F.collect_set("h")).alias("hashes"))
+
+
+def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, sketch: int = SKETCH, percent: int = PERCENT, keep: int = KEEP) -> DataFrame:
     """(node, keep) for nodes linked to others: keep (_k, _h, pos) is the one
     occurrence that stays for the whole component.  ``places`` has the first
     occurrence of every node."""
-    signed = texts_of(docs, places, id_col, text_col).select("node", F.sort_array(shingles(F.col("norm"), width)).alias("all"))
-    members = signed.select(F.explode(band_keys(F.col("all"), sketch, percent)).alias("key"), F.col("node").alias("id"))
+    signed = stored(signatures(docs, id_col, text_col, width, keep), "line-signatures")
+    heads = 4  # a set small enough for single hashes has at most so many of them
+    # Long lines of few different shingles leave too little under their bound: their whole sets are made.
+    dull = signed.where(f"n > {keep} and size(hashes) < {heads}").select("node")
+    whole = texts_of(docs, places.join(dull, "node", "left_semi"), id_col, text_col)
+    upper = F.transform(shingles(F.col("norm"), width), lambda h: F.shiftright(h, 32).cast("int"))
+    remade = whole.select("node", F.lit(0).alias("n"), F.sort_array(F.array_distinct(upper)).alias("hashes"))
+    signed = signed.where(f"n <= {keep} or size(hashes) >= {heads}").unionByName(stored(remade, "line-signatures"))
+    members = signed.select(F.explode(band_keys(F.col("hashes"), sketch, percent, F.col("n") <= keep)).alias("key"), F.col("node").alias("id"))
+    features = signed.select(F.col("node").alias("id"), F.slice("hashes", 1, keep).alias("feature"))
+
+    def plausible(x: Column, y: Column) -> Column:
+        """The smallest hashes of a set that end first are in the other set with
+        a probability of J or more each."""
+        ends = F.when(F.element_at(x, -1) <= F.element_at(y, -1), F.size(x)).otherwise(F.size(y))
+        return (F.least(F.size(x), F.size(y)) < 8) | (F.size(F.array_intersect(x, y)) >= PLAUSIBLE * ends)
 
     def load(ids: DataFrame) -> DataFrame:
-        return texts_of(docs, places.join(ids.withColumnRenamed("id", "node"), "node", "left_semi"), id_col, text_col)
+        return stored(texts_of(docs, places.join(ids.withColumnRenamed("id", "node"), "node", "left_semi"), id_col, text_col), "line-texts")
 
     def verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-        candidates = durable(candidates)
-        ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         # The texts meet, not the sets, which hold a hash for every character.
-        sides = texts.join(ends, "node", "left_semi")
-        both = candidates.join(sides.select(F.col("node").alias("a"), F.col("norm").alias("ta")), "a").join(sides.select(F.col("node").alias("b"), F.col("norm").alias("tb")), "b")
+        both = candidates.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("norm").alias("tb")), "b")
         sets = F.struct(shingles(F.col("ta"), width).alias("a"), shingles(F.col("tb"), width).alias("b"))
 
         def alike(s: Column) -> Column:
@@ -105,8 +169,8 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
         # Bound to a lambda, so that each set is made once a pair.
         return both.where(F.exists(F.array(sets), alike)).select("a", "b")
 
-    labels = link(members, verify, load=load)
-    labelled = durable(places.select("node", "first").join(labels.withColumnRenamed("id", "node"), "node"))
+    labels = link(members, verify, load=load, features=features, plausible=plausible)
+    labelled = stored(places.select("node", "first").join(labels.withColumnRenamed("id", "node"), "node"), "line-components")
     kept = labelled.groupBy("label").agg(F.min("first").alias("keep"))
     return labelled.join(kept, "label").select("node", "keep")
 
@@ -114,26 +178,25 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its texts cut to the lines that stay, plus the columns
     n_lines, n_kept (both without blank lines)."""
-    lines = durable(lines_of(docs, id_col, text_col).select("_k", "_h", "pos", "node"))
-    first = durable(lines.groupBy("node").agg(F.min(F.struct("_k", "_h", "pos")).alias("first"), F.count("*").alias("n")))
-    linked = durable(keepers(docs, first, id_col, text_col))
+    lines = stored(lines_of(docs, id_col, text_col).select("_k", "_h", "pos", "node"), "lines")
+    first = stored(lines.groupBy("node").agg(F.min(F.struct("_k", "_h", "pos")).alias("first"), F.count("*").alias("n")), "line-places")
+    linked = keepers(docs, first, id_col, text_col)
     # Only nodes with copies or with linked lines can lose an occurrence.
     losing = first.join(linked, "node", "left").where("n > 1 or keep is not null").select("node", F.coalesce("keep", "first").alias("keep"))
     lost = lines.join(losing, "node").where(F.struct("_k", "_h", "pos") != F.col("keep"))
-    lost = lost.groupBy("_k", "_h").agg(F.collect_set("pos").alias("_lost"))
-    keyed = docs.select("*", *row_key(docs, id_col, text_col))
-    parts = F.split(F.col(text_col), "\n")
-    joined = keyed.join(lost, ["_k", "_h"], "left").withColumn("_parts", parts)
-    blank = F.filter("_parts", lambda x: normal(x) == "")
-    kept = F.expr("filter(_parts, (x, i) -> not array_contains(_lost, i))")
-    n_lines = F.coalesce(F.size("_parts") - F.size(blank), F.lit(0)).cast("long")
-    text = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    plain = [c for c in docs.columns if c != text_col]
+    lost = lost.groupBy("_k", "_h").agg(F.collect_set("pos").alias("lost"))
+    # The columns of docs travel in one struct, so their names clash with none.
+    keyed = docs.select(*row_key(docs, id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row").getField(text_col)
+    joined = keyed.join(lost, ["_k", "_h"], "left").withColumn("parts", F.split(text, "\n"))
+    n_lines = F.coalesce(F.size(F.filter("parts", lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long")
+    kept = F.array_join(F.filter("parts", lambda x, i: ~F.array_contains("lost", i)), "\n")
+    n_lost = F.when(F.col("lost").isNull(), F.lit(0)).otherwise(F.size("lost"))
     return joined.select(
-        *[F.col(f"`{c}`") for c in plain],
-        text.alias(text_col),
-        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines - F.coalesce(F.size("_lost"), F.lit(0))).cast("long").alias("n_kept"),
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text_col, "n_lines", "n_kept")],
+        F.when(F.col("lost").isNull(), text).otherwise(kept).alias(text_col),
+        F.when(text.isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(text.isNull(), F.lit(0)).otherwise(n_lines - n_lost).cast("long").alias("n_kept"),
     )
 
 

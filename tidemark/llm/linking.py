@@ -7,7 +7,8 @@ confirms candidate pairs exactly.  It never emits all pairs of a bucket:
   (a chain) - two candidate pairs a row, whatever the bucket size;
 * then only buckets that still hold members of different components are looked
   at again, and only pairs from different components are compared: by the
-  caller's ``refine``, or with a geometrically growing block of pivots.  Pairs
+  caller's ``refine``, or with a geometrically growing block of pivots, under
+  the caller's condition on their features.  Pairs
   inside one component can add nothing to the result, so no link that matters
   is lost.
 
@@ -19,10 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,7 +62,40 @@ def mixed(members: DataFrame, found: DataFrame, least: int) -> DataFrame:
     return labelled.join(keys, "key", "left_semi")
 
 
-def link(members: DataFrame, verify: Callable[..., DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None, block: int = 8, load: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def shared(members: DataFrame) -> DataFrame:
+    """The members (key, id) of buckets of two or more."""
+    by_id = Window.partitionBy("key").orderBy("id")
+    near = members.select("key", "id", F.lag("id").over(by_id).alias("before"), F.lead("id").over(by_id).alias("after"))
+    return near.where("before is not null or after is not null").select("key", "id")
+
+
+def stars(members: DataFrame, sizes: DataFrame, features: DataFrame | None, plausible: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Pairs (a, b) of each member with the centre of its bucket and with the
+    member before it.
+
+    The member that meets most others in its buckets is the star's centre: of
+    edited copies that is the text that they were made from."""
+    weights = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight"))
+    rows = members.join(weights, "id")
+    rows = rows.withColumn("feature", F.lit(None)) if features is None else rows.join(features, "id")
+    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
+    member = F.struct("id", "feature")
+    ranked = rows.select("key", "id", "feature", F.first(member).over(by_weight.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag(member).over(by_weight).alias("before"))
+    met = ranked.where("id <> head.id").select("id", "feature", F.explode(F.array("head", "before")).alias("o"))
+    if plausible is not None:
+        met = met.where(plausible(F.col("feature"), F.col("o.feature")))
+    return met.select(F.least("o.id", "id").alias("a"), F.greatest("o.id", "id").alias("b")).distinct()
+
+
+def link(
+    members: DataFrame,
+    verify: Callable[..., DataFrame],
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    block: int = 8,
+    load: Callable[[DataFrame], DataFrame] | None = None,
+    features: DataFrame | None = None,
+    plausible: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """(id, label) of every id that ``verify`` linked to another one.
 
     members: key long, id long, distinct; read once, only buckets of two or more
@@ -69,40 +103,46 @@ def link(members: DataFrame, verify: Callable[..., DataFrame], refine: Callable[
     verify: takes distinct candidate pairs (a, b), returns the confirmed ones.
     refine: takes the members (key, id, label) of mixed buckets and returns all
     pairs of different labels that may be links; without it pivots are used.
-    load: takes the ids (id) of all shared buckets and returns their rows, which
+    load: takes the ids (id) that may be verified and returns their rows, which
     are written once and handed to every call of ``verify`` as second argument.
+    features, plausible: (id, feature) of every id, and a condition on two
+    features that every link meets; other pairs are no candidates.
     """
-    by_id = Window.partitionBy("key").orderBy("id")
-    near = members.select("key", "id", F.lag("id").over(by_id).alias("before"), F.lead("id").over(by_id).alias("after"))
-    members = durable(near.where("before is not null or after is not null").select("key", "id"))
-    confirm = verify
-    if load is not None:
-        rows_of = durable(load(members.select("id").distinct()))
+    members = stored(shared(members), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    pairs = stored(stars(members, sizes, features, plausible), "pairs")
+    # Up to three members have all met: the centre with both, and they as neighbours.
+    large = members.join(sizes.where("n > 3").select("key"), "key", "left_semi")
+    large = stored(large, "members") if refine is None else large
+    if load is None:
+        confirm = verify
+    else:
+        rows_of = load(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct())
 
         def confirm(pairs: DataFrame) -> DataFrame:
             return verify(pairs, rows_of)
 
-    # The member that meets most others in its buckets is the star's centre: of
-    # edited copies that is the text that they were made from.
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    weights = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight"))
-    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
-    ranked = members.join(weights, "id").select("key", "id", F.first("id").over(by_weight.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("id").over(by_weight).alias("before"))
-    pairs = ranked.where("id <> head").select(F.explode(F.array_distinct(F.array("head", "before"))).alias("o"), "id").select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
-    edges = durable(confirm(pairs))
-    found = durable(components(edges))
+    edges = stored(confirm(pairs), "edges")
+    found = components(edges)
     if refine is not None:
-        more = durable(refine(mixed(members, found, 2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        return found if more.isEmpty() else durable(components(edges.unionByName(confirm(more))))
-    done, open_keys = 0, sizes.where("n > 2").select("key")
+        more = refine(mixed(large, found, 3)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = stored(more, "pairs")
+        return found if more.isEmpty() else components(edges.unionByName(confirm(more)))
+    done, by_id = 0, Window.partitionBy("key").orderBy("id")
     while True:
-        rows = durable(mixed(members.join(open_keys, "key", "left_semi"), found, done + 1))
-        ranks = rows.withColumn("r", F.row_number().over(by_id))
-        pivots = ranks.where(F.col("r").between(done + 1, done + block)).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("r").alias("ra"))
-        pairs = durable(ranks.join(pivots, "key").where("r > ra and label <> la").select("a", F.col("id").alias("b")).distinct())
-        if pairs.isEmpty() and ranks.where(f"r > {done + block + 1}").isEmpty():
+        rows = stored(mixed(large, found, done + 1), "members")
+        if rows.isEmpty():
             return found
-        edges = durable(edges.unionByName(confirm(pairs)))
-        found = durable(components(edges))
+        ranks = rows.withColumn("r", F.row_number().over(by_id))
+        ranks = ranks if features is None else ranks.join(features, "id")
+        pivots = ranks.where(F.col("r").between(done + 1, done + block))
+        x, y = pivots.alias("x"), ranks.alias("y")
+        meet = (F.col("x.key") == F.col("y.key")) & (F.col("y.r") > F.col("x.r")) & (F.col("x.label") != F.col("y.label"))
+        if plausible is not None:
+            meet = meet & plausible(F.col("x.feature"), F.col("y.feature"))
+        pairs = stored(x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+        if not pairs.isEmpty():
+            edges = edges.unionByName(stored(confirm(pairs), "edges"))
+            found = components(edges)
         done, block = done + block, 8 * block
-        open_keys = rows.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {done + 1}").select("key")
+        large = rows.select("key", "id")
