@@ -130,7 +130,7 @@ def test_line_dedup_recall(spark):
         b = a[cut:] + [rng.getrandbits(62) for _ in range(int((size - cut) / 0.8 - size))]
         assert 10 * len({*a} & {*b}) >= 8 * len({*a} | {*b})
         sets.append((sorted(a), sorted(b)))
-    keys = spark.createDataFrame(sets, "a array<bigint>, b array<bigint>").select(F.size("a").alias("n"), *[line_dedup.band_keys(F.col(c), 14, 80).alias(c) for c in "ab"])
+    keys = spark.createDataFrame(sets, "a array<bigint>, b array<bigint>").select(F.size("a").alias("n"), *[line_dedup.band_keys(F.col(c), line_dedup.SKETCH, 80).alias(c) for c in "ab"])
     missed = [r["n"] for r in keys.where(~F.arrays_overlap("a", "b")).collect()]
     assert set(missed) <= {60} and len(missed) <= 0.0005 * 4000
 

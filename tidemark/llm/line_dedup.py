@@ -7,14 +7,17 @@ line shorter than that half is its own shingle.  Every character counts.  Its
 signature is the bottom-k MinHash of the shingle set: of the hashes of all its
 positions those under a bound that leaves about ``KEEP`` of them (all of a short
 line's), which are always the smallest ones, whatever the bound.  Bands are
-neighbouring pairs of the ``SKETCH`` smallest: among
+runs of ``RUN`` neighbours among the ``SKETCH`` smallest: of
 the smallest hashes of two lines' union each is common with probability J, so
-two lines with J = 0.8 fail to share a pair of neighbours with a probability
+two lines with J = 0.8 fail to share a run of three with a probability
 below 0.0005, and J = 0.9 below 0.00001.  Sets of fewer than ``SKETCH`` shingles,
 and those that can match them, meet by single hashes instead: with J = 0.8 two
 sets share one of their smallest n - 0.8 n + 1 hashes, so no pair is missed; the
 size of the larger set is part of the key, as the smaller has at least 0.8 of it.
 
+(With pairs for runs a third of all bands is shared by chance in half a GB of
+text, and more in more.)
+
 Positions are exploded and filtered in generated code, and only the hashes
 left are grouped by line.  Members of a bucket meet by ``linking``; a pair whose
 signatures agree in less than ``PLAUSIBLE`` of their common range (four standard
@@ -42,8 +45,9 @@ from tidemark.llm.common import row_key, small_enough, stored, table
 from tidemark.llm.linking import link
 
 SHINGLE = 8
-SKETCH = 14
-KEEP = 20
+RUN = 3
+SKETCH = 22
+KEEP = 30
 PERCENT = 80
 PLAUSIBLE = 0.45
 
@@ -100,26 +104,37 @@ def texts_of(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) ->
     return found.select("w.node", normal(F.get("parts", F.col("w.pos"))).alias("norm")).groupBy("node").agg(F.first("norm").alias("norm"))
 
 
-def band_keys(hashes: Column, sketch: int, percent: int, whole: Column | None = None) -> Column:
+def band_keys(hashes: Column, sketch: int, percent: int, n: Column | None = None, keep: int = KEEP) -> Column:
     """Keys under which a set of shingles, as its sorted hashes, meets others.
-    whole: whether these are all hashes of the set (the default) or only its
-    smallest ones."""
-    n = F.size(hashes)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.least(F.lit(sketch), n) - 1), lambda i: F.xxhash64(F.slice(hashes, i, 2)))).otherwise(F.array().cast("array<bigint>"))
-    most = 100 * (sketch - 1) // percent  # the largest set that can match one of fewer than ``sketch``
-    heads = max(m - -(-m * percent // 100) + 1 for m in range(1, most + 1))
+    n: of how many positions those under the bound for ``keep`` are given;
+    without it these are all hashes of the set."""
+    k = F.size(hashes)
+    runs = F.when(k >= RUN, F.transform(F.sequence(F.lit(1), F.least(F.lit(sketch), k) - RUN + 1), lambda i: F.xxhash64(F.slice(hashes, i, RUN)))).otherwise(F.array().cast("array<bigint>"))
+    most = largest_small(sketch, percent)
 
     def singles(head: Column, sizes: Column) -> Column:
         return F.flatten(F.transform(sizes, lambda m: F.transform(head, lambda h: F.xxhash64(F.lit("single"), m, h.cast("long")))))
 
-    head = F.slice(hashes, F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    single = singles(head, F.sequence(n, F.least(F.floor(n * 100 / percent).cast("int"), F.lit(most))))
-    known = F.when(n > most, pairs).when(n >= sketch, F.concat(pairs, single)).otherwise(single)
-    if whole is not None:
-        # Of a part of the hashes, as few as a small set has: read as a set of any size from there on.
-        either = F.concat(pairs, singles(F.slice(hashes, 1, heads), F.sequence(n, F.lit(most))))
-        known = F.when(whole, known).when(n > most, pairs).otherwise(either)
-    return F.array_distinct(known)
+    head = F.slice(hashes, F.lit(1), k - F.ceil(k * percent / 100).cast("int") + 1)
+    single = singles(head, F.sequence(k, F.least(F.floor(k * 100 / percent).cast("int"), F.lit(most))))
+    keys = F.when(k > most, runs).when(k >= sketch, F.concat(runs, single)).otherwise(single)
+    if n is not None:
+        # A part of the hashes may be that of a small set if it is as few as such
+        # a set leaves (four standard deviations); it is read as one of any size.
+        left = F.lit(float(most * keep)) / n
+        either = F.concat(runs, singles(F.slice(hashes, 1, most_heads(sketch, percent)), F.sequence(k, F.lit(most))))
+        keys = F.when(n <= keep, keys).when((k > most) | (k > left + 4 * F.sqrt(left) + 2), runs).otherwise(either)
+    return F.array_distinct(keys)
+
+
+def largest_small(sketch: int, percent: int) -> int:
+    """The largest set that can match one of fewer than ``sketch``."""
+    return 100 * (sketch - 1) // percent
+
+
+def most_heads(sketch: int, percent: int) -> int:
+    """Single hashes that a small set is met by at most."""
+    return max(m - -(-m * percent // 100) + 1 for m in range(1, largest_small(sketch, percent) + 1))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, keep: int) -> DataFrame:
@@ -133,20 +148,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, keep: in
     return hashed.groupBy("node", "n").agg(F.sort_array(F.collect_set("h")).alias("hashes"))
 
 
+def cut_after(hashes: Column, n: Column, sketch: int, keep: int) -> Column:
+    """What band_keys reads of a part of the hashes."""
+    return F.when(n > keep, F.slice(hashes, 1, largest_small(sketch, PERCENT) + 1)).otherwise(hashes)
+
+
 def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, sketch: int = SKETCH, percent: int = PERCENT, keep: int = KEEP) -> DataFrame:
     """(node, keep) for nodes linked to others: keep (_k, _h, pos) is the one
     occurrence that stays for the whole component.  ``places`` has the first
     occurrence of every node."""
-    signed = stored(signatures(docs, id_col, text_col, width, keep), "line-signatures")
-    heads = 4  # a set small enough for single hashes has at most so many of them
+    found = signatures(docs, id_col, text_col, width, keep)
+    signed = stored(found.select("node", "n", cut_after(F.col("hashes"), F.col("n"), sketch, keep).alias("hashes")), "line-signatures")
+    heads = most_heads(sketch, percent)
     # Long lines of few different shingles leave too little under their bound: their whole sets are made.
     dull = signed.where(f"n > {keep} and size(hashes) < {heads}").select("node")
     whole = texts_of(docs, places.join(dull, "node", "left_semi"), id_col, text_col)
     upper = F.transform(shingles(F.col("norm"), width), lambda h: F.shiftright(h, 32).cast("int"))
     remade = whole.select("node", F.lit(0).alias("n"), F.sort_array(F.array_distinct(upper)).alias("hashes"))
     signed = signed.where(f"n <= {keep} or size(hashes) >= {heads}").unionByName(stored(remade, "line-signatures"))
-    members = signed.select(F.explode(band_keys(F.col("hashes"), sketch, percent, F.col("n") <= keep)).alias("key"), F.col("node").alias("id"))
-    features = signed.select(F.col("node").alias("id"), F.slice("hashes", 1, keep).alias("feature"))
+    members = signed.select(F.explode(band_keys(F.col("hashes"), sketch, percent, F.col("n"), keep)).alias("key"), F.col("node").alias("id"))
+    features = signed.select(F.col("node").alias("id"), F.slice("hashes", 1, sketch).alias("feature"))
 
     def plausible(x: Column, y: Column) -> Column:
         """The smallest hashes of a set that end first are in the other set with
@@ -184,7 +205,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Only nodes with copies or with linked lines can lose an occurrence.
     losing = first.join(linked, "node", "left").where("n > 1 or keep is not null").select("node", F.coalesce("keep", "first").alias("keep"))
     lost = lines.join(losing, "node").where(F.struct("_k", "_h", "pos") != F.col("keep"))
-    lost = lost.groupBy("_k", "_h").agg(F.collect_set("pos").alias("lost"))
+    lost = stored(lost.groupBy("_k", "_h").agg(F.collect_set("pos").alias("lost")), "lines-lost")
+    lost = F.broadcast(lost) if small_enough(lost) else lost
     # The columns of docs travel in one struct, so their names clash with none.
     keyed = docs.select(*row_key(docs, id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.col("row").getField(text_col)
