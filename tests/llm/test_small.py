@@ -230,19 +230,24 @@ def test_language_model(spark):
     texts = random_texts(30, 13)
     got = {r["doc_id"]: r for r in lm_scoring.language_model_scores(docs_of(spark, texts)).collect()}
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None] for t in texts]
-    one, two, starts = {}, {}, 0
-    for i, w in enumerate(tokens):
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            starts += 1
-            for h, x in zip([0, *w], w):
-                one[x], two[h, x] = one.get(x, 0) + 1, two.get((h, x), 0) + 1
+    learns = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    one, two, starts = {}, {}, sum(learns)
+    for w, learn in zip(tokens, learns):
+        for h, x in zip([0, *w], w) if learn else ():
+            one[x], two[h, x] = one.get(x, 0) + 1, two.get((h, x), 0) + 1
     n, v = sum(one.values()), len(one)
+    before = lambda h: starts if h == 0 else one.get(h, 0)
+    p = lambda x: (one.get(x, 0) + 1) / (n + v + 1)
+    # each training token by the counts without itself
+    alone = lambda mu: sum(math.log10((two[h, x] - 1 + mu * one[x] / (n + v)) / (before(h) - 1 + mu)) for w, learn in zip(tokens, learns) if learn for h, x in zip([0, *w], w))
+    mu = max(lm_scoring.STRENGTHS, key=alone)
     for i, w in enumerate(tokens):
-        p = lambda x: (one.get(x, 0) + 1) / (n + v + 1)
-        score = sum(math.log10((two.get((h, x), 0) + 50 * p(x)) / ((starts if h == 0 else one.get(h, 0)) + 50)) for h, x in zip([0, *w], w))
+        score = sum(math.log10((two.get((h, x), 0) + mu * p(x)) / (before(h) + mu)) for h, x in zip([0, *w], w))
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in one for x in w), n)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(x in one for x in w), n, not learns[i])
         assert math.isclose(r["score"], score, abs_tol=1e-6) and math.isclose(r["base_score"], sum(math.log10(p(x)) for x in w), abs_tol=1e-6)
+    again = lm_scoring.language_model_scores(docs_of(spark, ["a b", "a b", None, "c"], [3, 3, None, 5])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in again) == [(0, 1), (3, 3), (3, 3), (5, 2)]
     assert lm_scoring.language_model_scores(docs_of(spark, [])).count() == 0
 
 

@@ -90,7 +90,7 @@ def stars(members: DataFrame, sizes: DataFrame, features: DataFrame | None, plau
 def link(
     members: DataFrame,
     verify: Callable[..., DataFrame],
-    refine: Callable[[DataFrame], DataFrame] | None = None,
+    refine: Callable[[DataFrame, bool], DataFrame] | None = None,
     block: int = 8,
     load: Callable[[DataFrame], DataFrame] | None = None,
     features: DataFrame | None = None,
@@ -101,8 +101,9 @@ def link(
     members: key long, id long, distinct; read once, only buckets of two or more
     are kept.
     verify: takes distinct candidate pairs (a, b), returns the confirmed ones.
-    refine: takes the members (key, id, label) of mixed buckets and returns all
-    pairs of different labels that may be links; without it pivots are used.
+    refine: takes the members (key, id, label) of mixed buckets and returns pairs
+    of different labels that may be links: at first (True) the most promising of
+    each member and label, then (False) all; without it pivots are used.
     load: takes the ids (id) that may be verified and returns their rows, which
     are written once and handed to every call of ``verify`` as second argument.
     features, plausible: (id, feature) of every id, and a condition on two
@@ -125,9 +126,13 @@ def link(
     edges = stored(confirm(pairs), "edges")
     found = components(edges)
     if refine is not None:
-        more = refine(mixed(large, found, 3)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = stored(more, "pairs")
-        return found if more.isEmpty() else components(edges.unionByName(confirm(more)))
+        for best in (True, False):
+            more = refine(mixed(large, found, 3), best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            more = stored(more, "pairs")
+            if not more.isEmpty():
+                edges = edges.unionByName(stored(confirm(more), "edges"))
+                found = components(edges)
+        return found
     done, by_id = 0, Window.partitionBy("key").orderBy("id")
     while True:
         rows = stored(mixed(large, found, done + 1), "members")

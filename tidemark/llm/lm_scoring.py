@@ -4,27 +4,34 @@ The model is a bigram with a Dirichlet prior around the add-one unigram
 (MacKay and Peto, 1995):
 
     p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | h) = (c(h w) + MU p(w)) / (c(h) + MU)
+    p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu)
 
-As an automaton: each seen word is a state, with an arc for each seen (h, w);
+mu is the one of ``STRENGTHS`` under which the training tokens are likeliest,
+each scored by the counts without itself (leave one out).  As an automaton:
+each seen word is a state, with an arc for each seen (h, w);
 any other word takes the failure arc to the empty state at the weight
-MU / (c(h) + MU).  A text starts in the state of the text start; one pass from
+mu / (c(h) + mu).  A text starts in the state of the text start; one pass from
 left to right carries the state and adds up log10 weights.
 
 The automaton of a corpus outgrows any machine, so it is never gathered.
-Documents are dealt to blocks by a hash of their id; a block sends each of its
+Texts become blocks of token numbers where they are read, written once, so no
+text is shuffled.  A block sends each of its
 distinct states and arcs once, as a sorted array of 64-bit hashes with its own
 training counts, to the parts that hold them.  A part adds up the counts of all
 blocks and answers each block in the order it was asked.  A block thus gets
-exactly the slice of the automaton that its texts can walk.
+exactly the slice of the automaton that its texts can walk.  There is a message
+for each block and part, so their number grows with the square of the corpus;
+blocks and parts of a few million tokens keep it small up to some TB.
 
 Defined results: null and empty texts are the end token alone; null ids are
 never learned from (held out); repeated rows count and are scored each for
-itself; without training rows every count is 0; other columns are ignored.
+itself; without training rows every count is 0; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +41,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, remainder, table
+from tidemark.llm.common import remainder, stored, table
 
-MU = 50.0
-BLOCK_CHARS, PART_KEYS = 4_000_000, 1_000_000
+STRENGTHS = [0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0]
+BLOCK_CHARS, PART_TOKENS = 4_000_000, 600_000
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh64_intdigest(b" start"))
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -79,16 +86,18 @@ def states_before(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Walk:
     """The tokens of a block and the keys that its automaton slice needs."""
 
-    def __init__(self, block: pd.DataFrame):
-        self.tokens, self.lengths = token_hashes(list(block["text"]))
+    def __init__(self, block):
+        known = unsqueeze(block.words, np.uint64)
+        self.tokens, self.lengths = known[unsqueeze(block.tokens, np.int32)], unsqueeze(block.lengths, np.int64)
         self.states = states_before(self.tokens, self.lengths)
-        learn = np.repeat(block["learn"].to_numpy(bool), self.lengths)
+        learns = unsqueeze(block.learns, np.uint8).astype(bool)
+        self.learn = learn = np.repeat(learns, self.lengths)
         uni, pair = unigram_keys(self.tokens), pair_keys(self.states, self.tokens)
         self.keys, at = np.unique(np.concatenate([uni, pair, [unigram_keys(START)]]), return_inverse=True)
         n = len(self.tokens)
         self.uni, self.pair, self.start = at[:n], at[n : 2 * n], at[-1]
         self.counts = np.bincount(self.uni[learn], minlength=len(self.keys)) + np.bincount(self.pair[learn], minlength=len(self.keys))
-        self.counts[self.start] = int(block["learn"].sum())
+        self.counts[self.start] = int(learns.sum())
 
     def parts(self, n: int) -> list[slice]:
         """Keys are uniform, so equal ranges of them are equal parts."""
@@ -107,64 +116,90 @@ def unsqueeze(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def language_model_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, mu: float = MU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def block_row(ids: list, texts: list, learns: list) -> dict:
+    tokens, lengths = token_hashes(texts)
+    words, codes = np.unique(tokens, return_inverse=True)
+    train = words[np.bincount(codes[np.repeat(np.array(learns, bool), lengths)], minlength=len(words)) > 0]
+    return {
+        "block": uuid.uuid4().int >> 65, "ids": ids, "words": squeeze(words), "tokens": squeeze(codes.astype(np.int32)), "lengths": squeeze(lengths),
+        "learns": squeeze(np.array(learns, np.uint8)), "n": int(lengths[np.array(learns, bool)].sum()), "train": train.view(np.int64),
+    }
+
+
+def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of about ``BLOCK_CHARS`` of text: (block, ids, words, tokens,
+    lengths, learns), with the number of training tokens and their kinds."""
+    ids, texts, learns, size = [], [], [], 0
+    for batch in batches:
+        for doc_id, text, learn in zip(batch["doc_id"], batch["text"], batch["learn"], strict=True):
+            ids.append(None if pd.isna(doc_id) else int(doc_id))
+            texts.append(text)
+            learns.append(bool(learn))
+            size += len(text or "") + 1
+            if size >= BLOCK_CHARS:
+                yield pd.DataFrame([block_row(ids, texts, learns)])
+                ids, texts, learns, size = [], [], [], 0
+    if ids:
+        yield pd.DataFrame([block_row(ids, texts, learns)])
+
+
+def language_model_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, strengths: list[float] = STRENGTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     held = F.coalesce(remainder(F.col(id_col), folds) == held_fold, F.lit(True))
-    total = docs.agg(F.sum(F.length(text_col)).alias("c"), F.count("*").alias("n")).first()
-    chars = (total["c"] or 0) + total["n"]
-    blocks, parts = chars // BLOCK_CHARS + 1, chars // (4 * PART_KEYS) + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"), (~held).alias("learn"))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.length("text"))), F.lit(blocks)))
-
-    def ask(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["doc_id", "text"], kind="stable")
-        walk, number = Walk(block), block["block"].iloc[0]
-        out = []
-        for part, at in enumerate(walk.parts(parts)):
-            keys = walk.keys[at]
-            out.append((part, number, squeeze(np.diff(keys, prepend=np.uint64(0))), squeeze(walk.counts[at].astype(np.int32))))
-        return pd.DataFrame(out, columns=["part", "block", "keys", "counts"])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (~held).alias("learn"))
+    blocks = stored(rows.mapInPandas(blocks_of, "block long, ids array<long>, words binary, tokens binary, lengths binary, learns binary, n long, train array<long>"), "token-blocks")
+    size = blocks.agg(F.sum("n").alias("n")).first()
+    n_train = size["n"] or 0
+    v_train = blocks.select(F.explode("train").alias("w")).distinct().count()
+    parts = n_train // PART_TOKENS + 1
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in batch.itertuples():
+                walk, out = Walk(block), []
+                for part, at in enumerate(walk.parts(parts)):
+                    out.append((part, block.block, squeeze(np.diff(walk.keys[at], prepend=np.uint64(0))), squeeze(walk.counts[at].astype(np.int32))))
+                yield pd.DataFrame(out, columns=["part", "block", "keys", "counts"])
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         asked = [np.cumsum(unsqueeze(k, np.uint64), dtype=np.uint64) for k in part["keys"]]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
         counts = np.concatenate([unsqueeze(c, np.int32) for c in part["counts"]])
         sums = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
-        word = (keys & np.uint64(1)).astype(bool) & (keys != unigram_keys(START))
         out, a = [], 0
         for k, block in zip(asked, part["block"], strict=True):
-            out.append((block, part["part"].iloc[0], squeeze(sums[at[a : a + len(k)]]), 0, 0))
+            out.append((block, part["part"].iloc[0], squeeze(sums[at[a : a + len(k)]])))
             a += len(k)
-        out.append((-1, part["part"].iloc[0], b"", int(sums[word].sum()), int((sums[word] > 0).sum())))
-        return pd.DataFrame(out, columns=["block", "part", "sums", "n", "v"])
+        return pd.DataFrame(out, columns=["block", "part", "sums"])
 
-    asked = dealt.groupBy("block").applyInPandas(ask, "part long, block long, keys binary, counts binary")
-    answers = durable(asked.groupBy("part").applyInPandas(answer, "block long, part long, sums binary, n long, v long"))
-    size = answers.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n_train, v_train = size["n"] or 0, size["v"] or 0
+    walked = blocks.select("block", "words", "tokens", "lengths", "learns")
+    answers = walked.mapInPandas(ask, "part long, block long, keys binary, counts binary").groupBy("part").applyInPandas(answer, "block long, part long, sums binary")
 
     def score(block: pd.DataFrame, slices: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        if not len(block):
-            return pd.DataFrame(columns=columns)
-        block = block.sort_values(["doc_id", "text"], kind="stable")
-        walk = Walk(block)
+        row = next(block.itertuples())
+        walk, learns = Walk(row), unsqueeze(row.learns, np.uint8).astype(bool)
         sums = np.concatenate([unsqueeze(s, np.int64) for s in slices.sort_values("part")["sums"]])
         c_word, c_arc = sums[walk.uni], sums[walk.pair]
         c_state = np.empty_like(c_word)
         c_state[1:] = c_word[:-1]
         firsts = np.cumsum(walk.lengths) - walk.lengths
         c_state[firsts] = sums[walk.start]
-        base = np.log10((c_word + 1) / (n_train + v_train + 1))
+        add = lambda x: np.add.reduceat(x, firsts)
+        p = (c_word + 1) / (n_train + v_train + 1)
         # a seen arc carries its smoothed weight, any other word the failure
         # arc's weight and that of the empty state
-        weight = np.log10((c_arc + mu * 10.0**base) / (c_state + mu))
-        add = lambda x: np.add.reduceat(x, firsts)
+        scores = np.stack([add(np.log10((c_arc + mu * p) / (c_state + mu))) for mu in strengths], axis=1)
+        own = walk.learn
+        left = (c_word[own]) / (n_train + v_train)
+        alone = [np.log10((c_arc[own] - 1 + mu * left) / (c_state[own] - 1 + mu)).sum() for mu in strengths]
         return pd.DataFrame(
-            {"doc_id": block["doc_id"].to_numpy(), "held_out": block["held_out"].to_numpy(), "n_tokens": walk.lengths, "n_known": add((c_word > 0).astype(np.int64)), "train_tokens": n_train, "base_score": add(base), "score": add(weight)}
-        )
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(score, schema)
+            {"doc_id": list(row.ids), "held_out": ~learns, "n_tokens": walk.lengths, "n_known": add((c_word > 0).astype(np.int64)), "base_score": add(np.log10(p)), "scores": list(scores), "alone": [alone] + [None] * (len(learns) - 1)}
+        ).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, alone array<double>"
+    scored = stored(blocks.select("block", "ids", "words", "tokens", "lengths", "learns").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema), "token-scores")
+    likely = scored.where("alone is not null").agg(*[F.sum(F.col("alone")[i]).alias(f"s{i}") for i in range(len(strengths))]).first()
+    best = max(range(len(strengths)), key=lambda i: likely[i] if likely[i] is not None else 0.0)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ the set.  The first ``BANDS * ROWS`` coordinates are banded and members of a
 bucket are linked by ``linking.link``; where a bucket stays divided, members
 of different components whose whole sketches agree in ``LEAST`` of the
 coordinates (four standard deviations under the threshold) meet as well.  Every
-candidate pair is confirmed on its full sets.  Large buckets are compared in
-blocks of about ``BLOCK`` rows.
+candidate pair is confirmed on its full sets.  In a divided bucket only members
+outside its largest component seek partners, in blocks of about ``BLOCK`` rows,
+first the most alike one of every other component, then, where that did not
+join them, all that are left.
 
 Defined results: null or blank text has an empty set and is linked with
 nothing; fewer words than a shingle make one shingle of the whole; repeated
@@ -29,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, table
+from tidemark.llm.common import stored, table
 from tidemark.llm.linking import link
 
 BANDS, ROWS = 48, 6
 SIZE = 512
-BLOCK = 1024
+BLOCK = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(2**64 - 1)
 CHUNK = 256
@@ -141,28 +143,31 @@ def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": np.concatenate(keys), "id": np.repeat(batch["id"].to_numpy(), [len(k) for k in keys])})
 
 
-def comparer(percent: int):
-    """Pairs (a, b) of different labels within a block pair (key, i, j) whose
-    sketches agree enough, each in the first bucket that the two share."""
+def comparer(percent: int, best: bool):
+    """Pairs (a, b) of seekers and partners of other labels within a block
+    (key, i, j) whose sketches agree enough, each in the first bucket that the
+    two share; of one seeker and label only the most alike if ``best``."""
     share = percent / 100
     least = share - 4 * (share * (1 - share) / SIZE) ** 0.5
 
     def pairs(group: pd.DataFrame) -> list[tuple[int, int]]:
-        key, i, j = group["key"].iloc[0], group["i"].iloc[0], group["j"].iloc[0]
-        ids, labels, blocks = (group[c].to_numpy() for c in ("id", "label", "blk"))
+        key, seeks = group["key"].iloc[0], group["seeks"].to_numpy(bool)
+        ids, labels, minor = (group[c].to_numpy() for c in ("id", "label", "minor"))
         sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(ids), SIZE)
         keys = np.frombuffer(b"".join(group["keys"]), np.int64).reshape(len(ids), BANDS)
-        values, counts = np.unique(labels, return_counts=True)
-        large = labels == values[counts.argmax()]
-        out = []
-        for x in np.flatnonzero(~large):
-            others = (labels != labels[x]) & (large | (ids > ids[x])) & ((blocks != blocks[x]) if i != j else True)
-            y = np.flatnonzero(others)
-            y = y[(sketch[y] == sketch[x]).mean(axis=1) >= least]
-            if len(y):
+        partners, out = np.flatnonzero(~seeks), []
+        for x in np.flatnonzero(seeks):
+            # Two minor members meet once, from the larger id.
+            y = partners[(labels[partners] != labels[x]) & (~minor[partners] | (ids[partners] < ids[x]))]
+            alike = (sketch[y] == sketch[x]).mean(axis=1)
+            y, alike = y[alike >= least], alike[alike >= least]
+            if len(y) and best:
+                order = np.lexsort((-alike, labels[y]))
+                y = y[order[np.unique(labels[y][order], return_index=True)[1]]]
+            elif len(y):
                 same = keys[y] == keys[x]
                 y = y[keys[x][same.argmax(axis=1)] == key]
-                out += [(int(ids[x]), int(ids[z])) for z in y]
+            out += [(int(ids[x]), int(ids[z])) for z in y]
         return out
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Documents with equal sets are one node, named by their smallest id, so that
     thousands of copies cost one signature in the buckets."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = durable(rows.mapInPandas(signer(width, "id", "text"), "id long, n_shingles long, s1 long, s2 long, keys binary, sketch binary"))
+    signed = stored(rows.mapInPandas(signer(width, "id", "text"), "id long, n_shingles long, s1 long, s2 long, keys binary, sketch binary"), "sketches")
     nodes = (
         signed.where("n_shingles > 0 and id is not null")
         .groupBy("s1", "s2", "n_shingles")
@@ -215,16 +220,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .select("rep.id", "rep.keys", "rep.sketch")
     )
 
-    def refine(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        dealt = rows.join(sizes, "key").withColumn("blk", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
-        dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "id", "label", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-        full = dealt.join(nodes, "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-        return full.mapInPandas(comparer(percent), "a long, b long")
+    def refine(rows: DataFrame, best: bool) -> DataFrame:
+        labels = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+        shape = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+        shape = shape.select("key", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("is"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("js"))
+        dealt = rows.join(shape, "key").withColumn("minor", F.col("label") != F.col("main"))
+        place = lambda blocks, seed: F.pmod(F.xxhash64("id", "key", F.lit(seed)), F.col(blocks))
+        # A partner lies in one block i, next to every block j of seekers; a seeker in one block j, next to every i.
+        partners = dealt.select("key", "id", "label", "minor", F.lit(False).alias("seeks"), place("is", 1).alias("i"), F.explode(F.expr("sequence(0L, js - 1)")).alias("j"))
+        seekers = dealt.where("minor").select("key", "id", "label", "minor", F.lit(True).alias("seeks"), F.explode(F.expr("sequence(0L, `is` - 1)")).alias("i"), place("js", 2).alias("j"))
+        full = partners.unionByName(seekers).join(nodes, "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+        return full.mapInPandas(comparer(percent, best), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = durable(rows.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
+        texts = stored(rows.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return both.mapInPandas(verifier(width, percent), "a long, b long")
 

@@ -183,7 +183,8 @@ def read_packages(packages: DataFrame, folder: str, payloads: bool = True) -> Da
                 yield pd.DataFrame(out, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-    return packages.select("path").repartition(F.col("path")).mapInPandas(read, schema)
+    # A number that is named is not coalesced: each package is a task of its own.
+    return packages.select("path").repartition(max(1, packages.count())).mapInPandas(read, schema)
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
