@@ -119,16 +119,25 @@ def unsqueeze(data: bytes, kind: type) -> np.ndarray:
 def block_row(ids: list, texts: list, learns: list) -> dict:
     tokens, lengths = token_hashes(texts)
     words, codes = np.unique(tokens, return_inverse=True)
-    train = words[np.bincount(codes[np.repeat(np.array(learns, bool), lengths)], minlength=len(words)) > 0]
+    learns = np.array(learns, np.uint8)
     return {
         "block": uuid.uuid4().int >> 65, "ids": ids, "words": squeeze(words), "tokens": squeeze(codes.astype(np.int32)), "lengths": squeeze(lengths),
-        "learns": squeeze(np.array(learns, np.uint8)), "n": int(lengths[np.array(learns, bool)].sum()), "train": train.view(np.int64),
+        "learns": squeeze(learns), "n": int(lengths[learns > 0].sum()),
     }
 
 
+def training_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(w) of the distinct training words of each block."""
+    for batch in batches:
+        for block in batch.itertuples():
+            words, learns = unsqueeze(block.words, np.uint64), unsqueeze(block.learns, np.uint8)
+            own = unsqueeze(block.tokens, np.int32)[np.repeat(learns > 0, unsqueeze(block.lengths, np.int64))]
+            yield pd.DataFrame({"w": words[np.bincount(own, minlength=len(words)) > 0].view(np.int64)})
+
+
 def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Blocks of about ``BLOCK_CHARS`` of text: (block, ids, words, tokens,
-    lengths, learns), with the number of training tokens and their kinds."""
+    lengths, learns), with the number n of training tokens."""
     ids, texts, learns, size = [], [], [], 0
     for batch in batches:
         for doc_id, text, learn in zip(batch["doc_id"], batch["text"], batch["learn"], strict=True):
@@ -146,10 +155,11 @@ def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def language_model_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, strengths: list[float] = STRENGTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     held = F.coalesce(remainder(F.col(id_col), folds) == held_fold, F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (~held).alias("learn"))
-    blocks = stored(rows.mapInPandas(blocks_of, "block long, ids array<long>, words binary, tokens binary, lengths binary, learns binary, n long, train array<long>"), "token-blocks")
+    blocks = stored(rows.mapInPandas(blocks_of, "block long, ids array<long>, words binary, tokens binary, lengths binary, learns binary, n long"), "token-blocks")
     size = blocks.agg(F.sum("n").alias("n")).first()
     n_train = size["n"] or 0
-    v_train = blocks.select(F.explode("train").alias("w")).distinct().count()
+    walked = blocks.select("block", "words", "tokens", "lengths", "learns")
+    v_train = walked.mapInPandas(training_words, "w long").distinct().count()
     parts = n_train // PART_TOKENS + 1
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +181,6 @@ def language_model_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, s
             a += len(k)
         return pd.DataFrame(out, columns=["block", "part", "sums"])
 
-    walked = blocks.select("block", "words", "tokens", "lengths", "learns")
     answers = walked.mapInPandas(ask, "part long, block long, keys binary, counts binary").groupBy("part").applyInPandas(answer, "block long, part long, sums binary")
 
     def score(block: pd.DataFrame, slices: pd.DataFrame) -> pd.DataFrame:

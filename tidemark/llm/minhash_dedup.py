@@ -12,8 +12,8 @@ of different components whose whole sketches agree in ``LEAST`` of the
 coordinates (four standard deviations under the threshold) meet as well.  Every
 candidate pair is confirmed on its full sets.  In a divided bucket only members
 outside its largest component seek partners, in blocks of about ``BLOCK`` rows,
-first the most alike one of every other component, then, where that did not
-join them, all that are left.
+first the most alike one, then, where a bucket is still divided, all that are
+left.
 
 Defined results: null or blank text has an empty set and is linked with
 nothing; fewer words than a shingle make one shingle of the whole; repeated
@@ -146,7 +146,7 @@ def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def comparer(percent: int, best: bool):
     """Pairs (a, b) of seekers and partners of other labels within a block
     (key, i, j) whose sketches agree enough, each in the first bucket that the
-    two share; of one seeker and label only the most alike if ``best``."""
+    two share; of one seeker only the most alike if ``best``."""
     share = percent / 100
     least = share - 4 * (share * (1 - share) / SIZE) ** 0.5
 
@@ -162,8 +162,7 @@ def comparer(percent: int, best: bool):
             alike = (sketch[y] == sketch[x]).mean(axis=1)
             y, alike = y[alike >= least], alike[alike >= least]
             if len(y) and best:
-                order = np.lexsort((-alike, labels[y]))
-                y = y[order[np.unique(labels[y][order], return_index=True)[1]]]
+                y = y[[alike.argmax()]]
             elif len(y):
                 same = keys[y] == keys[x]
                 y = y[keys[x][same.argmax(axis=1)] == key]
@@ -233,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return full.mapInPandas(comparer(percent, best), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         texts = stored(rows.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return both.mapInPandas(verifier(width, percent), "a long, b long")
