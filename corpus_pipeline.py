@@ -5,6 +5,12 @@ Every stage takes (spark, docs, sf_dir), where docs has the columns of
 ``documents``, works on all rows that the stage before kept, and but for the
 last returns those columns again.  ``run`` writes each stage as Parquet under
 the shared folder and reads it back as the next one's input.
+
+Defined results: null and empty texts pass every filter and are packed as their
+end token; a null id is a document of its own; repeated rows (same id and text)
+stay or go together; one id on several texts is several documents; ties between
+copies go to the smallest doc_id; an empty table gives no rows; columns beyond
+those of ``documents`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,9 +49,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8 or more)
-    the smallest doc_id stays."""
-    kept = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(*COLUMNS)
+    the row with the smallest doc_id stays, then that of the smallest text hash."""
+    # Rows are named by id and text, so one id on two texts is two documents.
+    keyed = docs.select(*COLUMNS, *row_key(docs))
+    name = F.xxhash64("_k", "_h")
+    found = near_duplicates(keyed.select(name.alias("doc_id"), "text"), width=5, percent=80).select(F.col("id").alias("_n"), F.col("component_id").alias("_c"))
+    grouped = keyed.select("_k", "_h", name.alias("_n")).join(found.distinct(), "_n")
+    firsts = grouped.groupBy("_c").agg(F.min(F.struct("_k", "_h")).alias("first"))
+    lost = grouped.join(firsts, "_c").where(F.struct("_k", "_h") != F.col("first")).select("_k", "_h").distinct()
+    return keyed.join(lost, ["_k", "_h"], "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
