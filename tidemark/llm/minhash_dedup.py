@@ -12,8 +12,8 @@ of different components whose whole sketches agree in ``LEAST`` of the
 coordinates (four standard deviations under the threshold) meet as well.  Every
 candidate pair is confirmed on its full sets.  In a divided bucket only members
 outside its largest component seek partners, in blocks of about ``BLOCK`` rows,
-first the most alike one, then, where a bucket is still divided, all that are
-left.
+first the most alike one of every other component, then, where a bucket is
+still divided, all that are left.
 
 Defined results: null or blank text has an empty set and is linked with
 nothing; fewer words than a shingle make one shingle of the whole; repeated
@@ -146,7 +146,8 @@ def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def comparer(percent: int, best: bool):
     """Pairs (a, b) of seekers and partners of other labels within a block
     (key, i, j) whose sketches agree enough, each in the first bucket that the
-    two share; of one seeker only the most alike if ``best``."""
+    two share; of one seeker and label only the most alike if ``best``, for
+    which no keys are needed."""
     share = percent / 100
     least = share - 4 * (share * (1 - share) / SIZE) ** 0.5
 
@@ -154,7 +155,7 @@ def comparer(percent: int, best: bool):
         key, seeks = group["key"].iloc[0], group["seeks"].to_numpy(bool)
         ids, labels, minor = (group[c].to_numpy() for c in ("id", "label", "minor"))
         sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(ids), SIZE)
-        keys = np.frombuffer(b"".join(group["keys"]), np.int64).reshape(len(ids), BANDS)
+        keys = None if best else np.frombuffer(b"".join(group["keys"]), np.int64).reshape(len(ids), BANDS)
         partners, out = np.flatnonzero(~seeks), []
         for x in np.flatnonzero(seeks):
             # Two minor members meet once, from the larger id.
@@ -162,7 +163,8 @@ def comparer(percent: int, best: bool):
             alike = (sketch[y] == sketch[x]).mean(axis=1)
             y, alike = y[alike >= least], alike[alike >= least]
             if len(y) and best:
-                y = y[[alike.argmax()]]
+                order = np.lexsort((-alike, labels[y]))
+                y = y[order[np.unique(labels[y][order], return_index=True)[1]]]
             elif len(y):
                 same = keys[y] == keys[x]
                 y = y[keys[x][same.argmax(axis=1)] == key]
@@ -228,7 +230,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         # A partner lies in one block i, next to every block j of seekers; a seeker in one block j, next to every i.
         partners = dealt.select("key", "id", "label", "minor", F.lit(False).alias("seeks"), place("is", 1).alias("i"), F.explode(F.expr("sequence(0L, js - 1)")).alias("j"))
         seekers = dealt.where("minor").select("key", "id", "label", "minor", F.lit(True).alias("seeks"), F.explode(F.expr("sequence(0L, `is` - 1)")).alias("i"), place("js", 2).alias("j"))
-        full = partners.unionByName(seekers).join(nodes, "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+        known = nodes.select("id", "sketch", F.lit(b"").alias("keys")) if best else nodes
+        full = partners.unionByName(seekers).join(known, "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
         return full.mapInPandas(comparer(percent, best), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
