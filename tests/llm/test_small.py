@@ -295,3 +295,43 @@ def test_html(spark):
 def test_remainder(spark):
     row = spark.range(20).select("id", common.remainder(F.col("id"), 5).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in row)
+
+
+PARAGRAPH = "<p>A real paragraph, with commas, and some more words to be long enough.</p>"
+
+
+def test_html_names_only_propose(spark):
+    text = re.sub("<[^>]*>", "", PARAGRAPH)
+    second = PARAGRAPH.replace("real", "second")
+    pages = {
+        1: f'<div class="layout with-sidebar">{PARAGRAPH}{PARAGRAPH}</div>',
+        2: f'<section class="legal">{PARAGRAPH}{PARAGRAPH}</section>',
+        3: f"<article>{PARAGRAPH}{PARAGRAPH}</article><article>{second}{second}</article>",
+        4: "<div>" * 20000 + PARAGRAPH + "</div>" * 20000,
+        5: "<a b=\"x" * 8000,
+        6: f"<article>{PARAGRAPH}<p><math><mi>x</mi>=2</math></p></article><footer>{second * 9}</footer>",
+        7: f'<div id="main">{PARAGRAPH}{PARAGRAPH}</div><div id="comments">{second * 9}</div>',
+        8: f"<form><div>{PARAGRAPH}{PARAGRAPH}<input></div></form>",
+    }
+    want = {1: [text] * 2, 2: [text] * 2, 3: [text] * 2 + [text.replace("real", "second")] * 2, 4: [text], 5: [], 6: [text, "x=2"], 7: [text] * 2, 8: [text] * 2}
+    rows = spark.createDataFrame([(i, "u", h, "x") for i, h in pages.items()] + [(1, "u", pages[1], "y")], "page_id long, url string, html string, text string")
+    got = html_extract.extract(rows).collect()
+    assert len(got) == 9 and all(r["text"] == "\n".join(want[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in got)
+    assert html_extract.extract(rows.limit(0)).count() == 0
+
+
+def test_line_dedup_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one line of text\none line of text", 7, "h", 9, [0]), (1, "one line of text\none line of text", 7, "h", 9, [0]), (2, None, 8, "g", 9, None)], "doc_id long, text string, _k long, _h string, n_lines int, lost array<int>")
+    got = line_dedup.dedup_lines(docs)
+    assert sorted(got.columns) == sorted([*docs.columns, "n_kept"])
+    assert [tuple(r) for r in got.select("doc_id", "text", "_k", "_h", "n_lines", "n_kept", "lost").orderBy("doc_id").collect()] == [(1, "one line of text", 7, "h", 2, 1, [0])] * 2 + [(2, None, 8, "g", 0, 0, None)]
+
+
+def test_warc_copies_and_empty(spark, tmp_path):
+    pages = [(i, "u", "<p>x</p>" if i % 3 else None, "k") for i in range(1, 31)] + [(30, "u", None, "k")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, sha string").repartition(5)
+    folder = f"file://{tmp_path}"
+    got = sorted((r["page_id"], r["refers_to"], r["record_type"]) for r in warc_zip.read_packages(warc_zip.write_packages(df, folder), folder).select("page_id", F.coalesce("refers_to", F.lit(0)).alias("refers_to"), "record_type").collect())
+    want = sorted((i, 0 if i in (29, 30) else 29 if i % 3 else 30, "response" if i in (29, 30) else "revisit") for i, *_ in pages)
+    assert got == want
+    assert warc_zip.read_packages(warc_zip.write_packages(df.limit(0), folder), folder).count() == 0

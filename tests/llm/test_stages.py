@@ -24,3 +24,12 @@ def test_stages(spark, tmp_path):
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows}
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert got == {i: (len((t or "").split()), 11 * (i == 5), int(i == 5), sha("1" if i == 5 else ""), i == 5) for i, t in enumerate(texts)}
+
+
+def test_copies_of_repeated_ids(spark, tmp_path):
+    a, b = "the quick brown fox jumps over the lazy dog near the old river bank", "seven other words that stand only in here and nowhere else at all"
+    rows = [(5, a), (5, b), (7, b), (3, None), (None, "x y"), (9, ""), (8, a.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_copies(spark, docs, str(tmp_path)).where("text is not null").collect())
+    assert kept == [(0, "x y"), (5, b), (5, a), (9, "")] or kept == [(0, "x y"), (5, a), (5, b), (9, "")]
+    assert corpus_pipeline.drop_copies(spark, docs.limit(0), str(tmp_path)).count() == 0
