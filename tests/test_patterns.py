@@ -22,3 +22,15 @@ def test_nearest(spark):
         got = {r["vec_id"]: (r["similarity"], -r["match_id"]) for r in patterns.nearest(df, block=block).collect()}
         assert got == want
     assert patterns.nearest(df.limit(0)).count() == 0
+
+
+def test_shape_names():
+    up, down = [i / 10 - 1.5 for i in range(30)], [1.5 - i / 10 for i in range(30)]
+    valley = [abs(i - 14.5) / 5 - 1.5 for i in range(30)]
+    assert [patterns.shape_name(x) for x in (up, down, valley, [-v for v in valley])] == ["rising, straight", "falling, straight", "level, bottom inside", "level, top inside"]
+
+
+def test_names_follow_direction(spark):
+    rows = spark.createDataFrame([(0, "up"), (0, "down"), (1, "up")], "cluster int, direction string")
+    got = {(r["cluster"], r["direction"]): r["pattern"] for r in patterns.named(rows, [[0.0] * 9, [float(i) for i in range(9)]]).collect()}
+    assert got == {(0, "up"): "level, straight before a rise", (0, "down"): "level, straight before a fall", (1, "up"): "rising, straight before a rise"}

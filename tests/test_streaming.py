@@ -36,6 +36,15 @@ def test_upsert(spark, tmp_path):
     assert got.count() == 40 and got.where("close > 1000").count() == later.count()
 
 
+def test_upsert_within_a_batch(spark, tmp_path):
+    bars = bars_of(spark).withColumn("volume", F.lit(1))
+    twice = bars.union(bars.withColumn("close", F.col("close") + 1000).withColumn("volume", F.lit(2)))
+    source = files([twice], str(tmp_path))
+    refresh.stream_upsert(spark, source, SCHEMA + ", volume int", f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/t/version=0")
+    assert got.count() == got.where("close > 1000").count() == 40
+
+
 def test_rsi(spark, tmp_path):
     bars = bars_of(spark)
     source = files([bars.where("date < '2024-01-21'"), bars.where("date >= '2024-01-21'")], str(tmp_path))

@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NAMES = ["W bottom", "breakout", "box convergence", "20MA retest", "box breakdown", "false breakout", "double top", "weak rebound", "rising steps", "falling steps"]
 MOVE = 12.0
 
 
@@ -65,9 +64,19 @@ def best_match(current: DataFrame, events: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(top)).where("_r = 1").drop("_r", "_v", "vec")
 
 
-def named(matches: DataFrame) -> DataFrame:
-    names = F.create_map(*[x for i, n in enumerate(NAMES) for x in (F.lit(i), F.lit(n))])
-    return matches.withColumn("pattern", names[F.col("cluster")])
+def shape_name(center) -> str:
+    """What a cluster's mean window looks like: its trend from the first third
+    to the last, and its middle against both."""
+    first, middle, last = (float(np.mean(part)) for part in np.array_split(np.asarray(center, float), 3))
+    bend = middle - (first + last) / 2
+    trend = "rising" if last - first > 0.5 else "falling" if first - last > 0.5 else "level"
+    return f"{trend}, " + ("bottom inside" if bend < -0.5 else "top inside" if bend > 0.5 else "straight")
+
+
+def named(matches: DataFrame, centers: list) -> DataFrame:
+    """``pattern``: the shape of the row's cluster and the move that followed its match."""
+    shapes = F.create_map(*[x for i, c in enumerate(centers) for x in (F.lit(i), F.lit(shape_name(c)))])
+    return matches.withColumn("pattern", F.concat(shapes[F.col("cluster")], F.when(F.col("direction") == "up", " before a rise").otherwise(" before a fall")))
 
 
 def status(direction: Column, move: Column) -> Column:
@@ -85,7 +94,7 @@ def scan(bars: DataFrame, size: int, k: int = 10, recent: int = 5, move: float =
     latest = assign(model, shapes.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r"))
     w = Window.partitionBy("symbol").orderBy("date")
     moved = bars.select("symbol", "date", F.round((F.col("close") / F.lag("close", recent).over(w) - 1) * 100, 2).alias("recent_move"))
-    found = named(best_match(latest, events)).join(moved, ["symbol", "date"])
+    found = named(best_match(latest, events), model.clusterCenters()).join(moved, ["symbol", "date"])
     return found.withColumn("status", status(F.col("direction"), F.col("recent_move"))).withColumn("period", F.lit(size)).drop("cluster")
 
 

@@ -6,15 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def envelope(signals: DataFrame, summary: DataFrame) -> DataFrame:
-    """One JSON document per symbol: {symbol, data_range, total_days, signals}.
-    ``signals`` is in long form (one row per horizon)."""
-    record = signals.groupBy("symbol", "date", "close", "rsi", "signal").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("horizon").cast("string"), F.struct("max_profit", "max_drawdown")))).alias("returns")
-    )
-    entry = F.struct(F.col("date").cast("string").alias("date"), "close", "rsi", "signal", F.to_json("returns").alias("returns"))
-    lists = record.groupBy("symbol").agg(F.array_sort(F.collect_list(entry)).alias("signals"))
-    return summary.join(lists, "symbol", "left").select("symbol", F.to_json(F.struct("symbol", "data_range", "total_days", "signals")).alias("json"))
+def envelope(signals: DataFrame, summary: DataFrame, future_days: list[int] | None = None, updated: Column | None = None) -> DataFrame:
+    """One JSON document per symbol: {symbol, data_range, total_days,
+    last_update, future_days, signals}.  ``signals`` is in long form (one row per
+    horizon); each signal holds an object of its returns by horizon, null where
+    none are known, in order of date.  last_update is ``updated`` as text, if given."""
+    known = F.when(F.col("max_profit").isNotNull() | F.col("max_drawdown").isNotNull(), F.struct("max_profit", "max_drawdown"))
+    by_horizon = F.array_sort(F.collect_list(F.struct("horizon", known.alias("r"))))
+    pairs = F.transform(by_horizon, lambda x: F.struct(x["horizon"].cast("string").alias("key"), x["r"].alias("value")))
+    record = signals.groupBy("symbol", "date", "close", "rsi", "signal").agg(F.map_from_entries(pairs).alias("returns"))
+    entry = F.struct(F.col("date").cast("string").alias("date"), "close", "rsi", "signal", "returns")
+
+    def order(x: Column, y: Column) -> Column:
+        a, b = (F.struct(e["date"], e["signal"]) for e in (x, y))
+        return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0))
+
+    lists = record.groupBy("symbol").agg(F.array_sort(F.collect_list(entry), order).alias("signals"))
+    days = F.array(*[F.lit(d) for d in future_days]) if future_days else F.array().cast("array<int>")
+    out = summary.join(lists, "symbol", "left").withColumn("signals", F.coalesce("signals", F.array().cast(lists.schema["signals"].dataType)))
+    out = out.withColumns({"future_days": days, "last_update": F.lit(None).cast("string") if updated is None else F.date_format(updated, "yyyy-MM-dd HH:mm:ss")})
+    document = F.struct("symbol", "data_range", "total_days", "last_update", "future_days", "signals")
+    return out.select("symbol", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_csv(df: DataFrame, path: str, order: list[Column]) -> None:

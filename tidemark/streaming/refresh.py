@@ -15,10 +15,13 @@ from tidemark.sources.bars import upsert
 def stream_upsert(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str):
     """Read new parquet bars from ``source`` and merge them into ``target``,
     versioned by batch so that a retried batch rewrites its own version; a
-    later bar replaces an earlier one of its date.  Returns the query."""
+    later bar replaces an earlier one of its date.  Within a batch, where no
+    order is known, the bar with the largest volume stays (a bar only grows),
+    ties by the other columns.  Returns the query."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(["symbol", "date"])
+        rest = sorted((c for c in batch.columns if c not in ("symbol", "date")), key=lambda c: (c != "volume", c))
+        new = batch.groupBy("symbol", "date").agg(F.max(F.struct(*rest)).alias("bar")).select("symbol", "date", "bar.*").select(*batch.columns)
         if number > 0:
             new = upsert(spark.read.parquet(f"{target}/version={number - 1}"), new)
         new.write.mode("overwrite").parquet(f"{target}/version={number}")
