@@ -159,6 +159,6 @@ def queries() -> dict[str, Query]:
         "pattern_status": lambda s, d: patterns.status_counts(scans(s, d)),
         "pattern_top": lambda s, d: patterns.top_per_list(scans(s, d)).select("period", "direction", "rank", "symbol", "similarity"),
         "resonance": resonance,
-        "api_envelope": lambda s, d: sinks.envelope(order_signals(s, d), stats.summary(src.order_bars(s, d))),
+        "api_envelope": lambda s, d: sinks.envelope(order_signals(s, d), stats.summary(src.order_bars(s, d)), list(ind.HORIZONS), F.to_timestamp(F.substring_index("data_range", " ~ ", -1))),
         "text_report": report,
     }
