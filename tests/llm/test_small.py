@@ -190,6 +190,8 @@ def test_toxicity(spark):
     score = {r["doc_id"]: r["score"] for r in got}
     assert all((score[i] >= 0.5) == t for i, t in enumerate(toxic))
     assert score[900] < 0.5 <= score[901] and score[None] < 0.5
+    clash = toxicity.toxicity(docs_of(spark, texts).withColumns({"toxic": F.lit(1), "n1": F.lit("x")}), labels).collect()
+    assert all((r["score"] >= 0.5) == toxic[r["doc_id"]] and r["n1"] == "x" for r in clash)
     assert toxicity.toxicity(docs_of(spark, texts), labels.limit(0)).where("score = 0").count() == 400
     near = toxicity.Trie(["idiot"]).near
     assert [near(w) for w in ("idiot", "idiiot", "idot", "idiut", "idoit")] == [("idiot", 0), ("idiot", 1), ("idiot", 1), ("idiot", 1), None]

@@ -187,7 +187,7 @@ def training(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     marks = marks.where(remainder(F.col("_id"), folds) != 0)
     # Labels grow with the documents, so they are never broadcast: one plan at every size.
-    return docs.join(marks.hint("merge"), docs[id_col] == marks["_id"]).select(F.coalesce(docs[text_col], F.lit("")).alias("text"), "toxic")
+    return docs.join(marks.hint("merge"), docs[id_col] == marks["_id"]).select(F.coalesce(docs[text_col], F.lit("")).alias("text"), marks["toxic"])
 
 
 def cover(rows: list[set[str]], terms: dict[str, int], least: float) -> list[str]:
