@@ -112,6 +112,17 @@ def wave_statistics(waves: DataFrame) -> DataFrame:
     )
 
 
+def wave_flow(waves: DataFrame, flows: DataFrame) -> DataFrame:
+    """Mean over the waves of a type of their summed daily ``flow``.  ``flows``
+    (symbol, date, flow) has a row for every bar, so a wave's sum is the
+    difference of two running sums; its first bar belongs to the wave before."""
+    running = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    sums = flows.select("symbol", "date", F.sum("flow").over(running).alias("upto"))
+    begin, end = (sums.select("symbol", F.col("date").alias(f"{c}_date"), F.col("upto").alias(c)) for c in ("start", "end"))
+    rows = waves.join(begin, ["symbol", "start_date"]).join(end, ["symbol", "end_date"])
+    return rows.groupBy("symbol", "type").agg(F.count("*").alias("n_waves"), F.round(F.avg(F.col("end") - F.col("start")), 2).alias("mean_flow"))
+
+
 def ratios(waves: DataFrame) -> DataFrame:
     """Each wave with ratio = |pct| / |pct of the previous wave of its type|."""
     before = F.abs(F.lag("pct").over(Window.partitionBy("symbol", "type").orderBy("seq")))
@@ -152,18 +163,22 @@ def winrate_levels(waves: DataFrame) -> DataFrame:
 
 def open_wave(waves: DataFrame, bars: DataFrame) -> DataFrame:
     """The open wave: peak, trough, cumulative percent, days, and the targets
-    trough * (1 + mean) and (1 + median) of up waves, with the ceiling
-    start * (1 + max) and the days left to the longest up wave."""
+    trough * (1 + mean) and (1 + median) of up waves, whether the last close has
+    passed them, the ceiling start * (1 + max) and the days left to the longest
+    up wave."""
     now = waves.where("is_open").select("symbol", "type", "start_date", "start_val", "end_val", "days")
     inside = bars.join(now, "symbol").where(F.col("date") >= F.col("start_date")).groupBy("symbol").agg(F.max("close").alias("peak"), F.min("close").alias("trough"), F.sum("volume").alias("flow"))
     ups = waves.where("type = 'up' and not is_open").groupBy("symbol").agg(F.avg("pct").alias("mean_up"), F.median("pct").alias("median_up"), F.max("pct").alias("max_up"), F.max("days").alias("max_days"))
     rows = now.join(inside, "symbol").join(ups, "symbol", "left")
+    mean, median = (F.round(F.col("trough") * (1 + F.col(c) / 100), 3) for c in ("mean_up", "median_up"))
     return rows.select(
         "symbol", "type", "start_date", "days", "peak", "trough", "flow",
         F.round((F.col("end_val") / F.col("start_val") - 1) * 100, 2).alias("cumulative_pct"),
         F.round((F.col("peak") / F.col("trough") - 1) * 100, 2).alias("peak_pct"),
-        F.round(F.col("trough") * (1 + F.col("mean_up") / 100), 3).alias("mean_target"),
-        F.round(F.col("trough") * (1 + F.col("median_up") / 100), 3).alias("median_target"),
+        mean.alias("mean_target"),
+        (F.col("end_val") >= mean).alias("mean_passed"),
+        median.alias("median_target"),
+        (F.col("end_val") >= median).alias("median_passed"),
         F.round(F.col("start_val") * (1 + F.col("max_up") / 100), 2).alias("ceiling"),
         (F.col("max_days") - F.col("days")).alias("days_left"),
         advice(F.col("type"), F.col("peak") >= F.col("trough") * (1 + F.col("mean_up") / 100)).alias("advice"),

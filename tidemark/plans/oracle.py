@@ -55,6 +55,41 @@ ratios AS (SELECT *, abs(lag(pct) OVER (PARTITION BY symbol, type ORDER BY seq))
 _LEVELS = ", ".join(f"({w / 10!r}::DOUBLE, {1 - w / 10!r}::DOUBLE)" for w in range(10, 0, -1))
 
 
+def zigzag(pct: float, range_days: int = 22, range_pct: float = 3.5) -> str:
+    """Waves of the index: the turning points by a recursion over the bars, the
+    range waves by a recursion over the legs."""
+    return f"""RECURSIVE {INDEX}, b AS MATERIALIZED (SELECT symbol, date, close, (row_number() OVER w - 1)::INT AS i, (count(*) OVER (PARTITION BY symbol))::INT AS n, sum(volume) OVER (w ROWS UNBOUNDED PRECEDING) AS cv FROM index WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+zz AS (SELECT symbol, 0 AS i, 0 AS hi, close AS hic, 0 AS lo, close AS loc, 0 AS way, 0 AS last, NULL::INT AS turn FROM b WHERE i = 0 UNION ALL
+ SELECT symbol, i, CASE WHEN up THEN i ELSE hi END, CASE WHEN up THEN c ELSE hic END, CASE WHEN down THEN i ELSE lo END, CASE WHEN down THEN c ELSE loc END, CASE WHEN down THEN -1 WHEN up THEN 1 ELSE way END, coalesce(turned, last), turned
+ FROM (SELECT *, CASE WHEN down AND hi <> last THEN hi WHEN up AND lo <> last THEN lo END AS turned
+ FROM (SELECT *, way >= 0 AND c <= hic * {1 - pct / 100!r}::DOUBLE AS down, NOT (way >= 0 AND c <= hic * {1 - pct / 100!r}::DOUBLE) AND way <= 0 AND c >= loc * {1 + pct / 100!r}::DOUBLE AS up
+ FROM (SELECT zz.symbol, b.i, b.close AS c, way, last, CASE WHEN way >= 0 AND b.close > hic THEN b.i ELSE hi END AS hi, CASE WHEN way >= 0 THEN greatest(b.close, hic) ELSE hic END AS hic,
+ CASE WHEN way <= 0 AND b.close < loc THEN b.i ELSE lo END AS lo, CASE WHEN way <= 0 THEN least(b.close, loc) ELSE loc END AS loc FROM zz JOIN b ON b.symbol = zz.symbol AND b.i = zz.i + 1) AS moved) AS tested) AS turns),
+pv AS (SELECT symbol, 0 AS p FROM b WHERE i = 0 UNION SELECT symbol, turn FROM zz WHERE turn IS NOT NULL UNION SELECT symbol, n - 1 FROM b WHERE i = 0),
+lg AS MATERIALIZED (SELECT * FROM (SELECT symbol, p AS a, lead(p) OVER w AS z, row_number() OVER w - 1 AS k FROM pv WINDOW w AS (PARTITION BY symbol ORDER BY p)) WHERE z IS NOT NULL),
+best AS (SELECT x.symbol, x.k, max(y.k) AS j FROM lg x JOIN lg y ON x.symbol = y.symbol AND y.k > x.k AND y.z - x.a >= {range_days} JOIN b p ON p.symbol = x.symbol AND p.i = x.a JOIN b q ON q.symbol = y.symbol AND q.i = y.z WHERE abs(q.close / p.close - 1) * 100 <= {range_pct}::DOUBLE GROUP BY ALL),
+step AS MATERIALIZED (SELECT lg.symbol, lg.k, lg.a, coalesce(e.z, lg.z) AS z, j, coalesce(j, lg.k) + 1 AS nk FROM lg LEFT JOIN best ON best.symbol = lg.symbol AND best.k = lg.k LEFT JOIN lg e ON e.symbol = lg.symbol AND e.k = best.j),
+mg AS (SELECT symbol, a, z, j, nk, 0 AS seq FROM step WHERE k = 0 UNION ALL SELECT s.symbol, s.a, s.z, s.j, s.nk, mg.seq + 1 FROM mg JOIN step s ON s.symbol = mg.symbol AND s.k = mg.nk),
+waves AS (SELECT mg.symbol, mg.seq, CASE WHEN j IS NOT NULL THEN 'range' WHEN q.close >= p.close THEN 'up' ELSE 'down' END AS type, p.date AS start_date, q.date AS end_date, p.close AS start_val, q.close AS end_val, (z - a)::INT AS days, (q.cv - p.cv)::BIGINT AS total_vol, z = q.n - 1 AS is_open,
+ round((q.close / p.close - 1) * 100, 2) AS pct, abs(q.close - p.close) AS point_change, CASE WHEN abs(q.close - p.close) > 0 THEN (q.cv - p.cv) / abs(q.close - p.close) END AS vpp FROM mg JOIN b p ON p.symbol = mg.symbol AND p.i = a JOIN b q ON q.symbol = mg.symbol AND q.i = z)"""
+
+
+ALL_DAYS = 2**31 - 1
+OPEN_WAVE = """, inside AS (SELECT w.symbol, max(b.close) AS peak, min(b.close) AS trough, sum(x.volume)::BIGINT AS flow FROM waves w JOIN b ON b.symbol = w.symbol AND b.date >= w.start_date JOIN index x ON x.symbol = b.symbol AND x.date = b.date WHERE w.is_open GROUP BY 1),
+ups AS (SELECT symbol, avg(pct) AS mean_up, median(pct) AS median_up, max(pct) AS max_up, max(days) AS max_days FROM waves WHERE type = 'up' AND NOT is_open GROUP BY 1)
+SELECT w.symbol, type, start_date, days, peak, trough, flow, round((end_val / start_val - 1) * 100, 2) AS cumulative_pct, round((peak / trough - 1) * 100, 2) AS peak_pct, round(trough * (1 + mean_up / 100), 3) AS mean_target, end_val >= round(trough * (1 + mean_up / 100), 3) AS mean_passed,
+ round(trough * (1 + median_up / 100), 3) AS median_target, end_val >= round(trough * (1 + median_up / 100), 3) AS median_passed, round(start_val * (1 + max_up / 100), 2) AS ceiling, max_days - days AS days_left,
+ CASE WHEN type = 'up' AND peak >= trough * (1 + mean_up / 100) THEN 'take profit: the mean target has passed' WHEN type = 'up' THEN 'hold: below the mean target' WHEN type = 'down' THEN 'defend: wait for a turn' ELSE 'accumulate within the range' END AS advice
+FROM waves w JOIN inside USING (symbol) LEFT JOIN ups USING (symbol) WHERE w.is_open"""
+WINRATE = """SELECT horizon, signal, count(*) AS n_signals, round(avg(CASE WHEN max_profit > 0 THEN 100.0::DOUBLE ELSE 0 END), 4) AS win_rate, round(avg(max_profit), 4) AS mean_profit, round(avg(max_drawdown), 4) AS mean_drawdown,
+ max(max_profit) AS best_profit, min(max_drawdown) AS worst_drawdown, list_sort(list(max_profit))[count(*) // 2 + 1] AS median_profit FROM long WHERE max_profit IS NOT NULL GROUP BY 1, 2"""
+ENVELOPE = """, ret AS (SELECT symbol, date, close, rsi, signal, '{' || string_agg('"' || horizon || '":' || CASE WHEN max_profit IS NULL AND max_drawdown IS NULL THEN 'null' ELSE '{"max_profit":' || coalesce(to_json(max_profit)::VARCHAR, 'null') || ',"max_drawdown":' || coalesce(to_json(max_drawdown)::VARCHAR, 'null') || '}' END, ',' ORDER BY horizon) || '}' AS r FROM long GROUP BY ALL),
+sg AS (SELECT symbol, string_agg('{"date":"' || date || '","close":' || to_json(close)::VARCHAR || ',"rsi":' || coalesce(to_json(rsi)::VARCHAR, 'null') || ',"signal":' || signal || ',"returns":' || r || '}', ',' ORDER BY date, signal) AS s FROM ret GROUP BY 1),
+sm AS (SELECT symbol, min(date) AS a, max(date) AS z, count(*) AS n FROM bars GROUP BY 1)
+SELECT symbol, '{"symbol":"' || symbol || '","data_range":"' || a || ' ~ ' || z || '","total_days":' || n || ',"last_update":"' || z || ' 00:00:00","future_days":[1,3,5,10,20,60],"signals":[' || coalesce(s, '') || ']}' AS json FROM sm LEFT JOIN sg USING (symbol)"""
+FLOW = "flow AS (SELECT l_shipdate::DATE AS date, round(sum(l_quantity), 2) AS flow FROM lineitem GROUP BY 1)"
+
+
 def oracle_sql() -> dict[str, str]:
     events_rsi = f"WITH {EVENT_BARS}, {RSI} SELECT symbol, date, close, rsi FROM rsi"
     return {
@@ -68,8 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "divergence_v2": f"WITH {ORDER_BARS}, {RSI}, {extremes(5)}, {PAIRED} SELECT r.symbol, r.date, r.close, r.rsi, s.signal FROM rsi r JOIN sig s USING (symbol, date) WHERE s.signal <> 0",
         "forward_excursion": FULL + "SELECT * FROM long",
         "side_filter": FULL + "SELECT symbol, date, signal, max_profit FROM long WHERE signal = 1 AND horizon = 20 AND max_profit IS NOT NULL",
-        "winrate": FULL + """SELECT horizon, signal, count(*) AS n_signals, round(avg(CASE WHEN max_profit > 0 THEN 100.0::DOUBLE ELSE 0 END), 4) AS win_rate, round(avg(max_profit), 4) AS mean_profit, round(avg(max_drawdown), 4) AS mean_drawdown,
- max(max_profit) AS best_profit, min(max_drawdown) AS worst_drawdown, list_sort(list(max_profit))[count(*) // 2 + 1] AS median_profit FROM long WHERE max_profit IS NOT NULL GROUP BY 1, 2""",
+        "winrate": FULL + WINRATE,
         "histogram": histogram("max_profit"),
         "histogram_drawdown": histogram("max_drawdown"),
         "series_summary": f"WITH {ORDER_BARS} SELECT symbol, min(date)::VARCHAR || ' ~ ' || max(date)::VARCHAR AS data_range, count(*) AS total_days, arg_max(close, date) AS last_close FROM bars GROUP BY 1",
@@ -90,6 +124,16 @@ SELECT symbol, count(*) AS n_waves, sum((total_vol < pv AND nt <> type)::INT)::B
 lv(win_rate, rest) AS (VALUES {_LEVELS}), now AS (SELECT * FROM ratios WHERE is_open AND prev_pct IS NOT NULL),
 p AS (SELECT now.symbol, now.type, win_rate, o.ratio, o.ratio * now.prev_pct AS t, now.start_val, now.end_val, CASE WHEN now.type = 'down' THEN -1.0 ELSE 1.0 END AS s FROM now JOIN o ON o.symbol = now.symbol AND o.type = now.type JOIN lv ON o.at = floor(o.n * rest)::BIGINT)
 SELECT symbol, type, round(win_rate, 1) AS win_rate, ratio, round(t, 2) AS target_pct, round(start_val * (1 + s * t / 100), 2) AS price, CASE WHEN type = 'down' THEN end_val <= round(start_val * (1 + s * t / 100), 2) ELSE end_val >= round(start_val * (1 + s * t / 100), 2) END AS reached FROM p""",
+        "waves_zigzag": f"WITH {zigzag(5.0)} SELECT * FROM waves",
+        "waves_long": f"WITH {zigzag(10.0)} SELECT * FROM waves",
+        "zigzag_legs": f"WITH {zigzag(5.0, ALL_DAYS)} SELECT * FROM waves",
+        "early_warning": f"WITH {zigzag(3.0, ALL_DAYS)} SELECT symbol, type AS state, start_date AS turn_date, start_val AS base_price, pct AS cumulative_pct, days FROM waves WHERE is_open",
+        "open_wave": f"WITH {zigzag(5.0)}{OPEN_WAVE}",
+        "open_leg": f"WITH {zigzag(5.0, ALL_DAYS)}{OPEN_WAVE}",
+        "wave_flow": f"""WITH {RUNS}, {FLOW}, f AS (SELECT w.symbol, w.type, w.seq, sum(coalesce(flow, 0.0)) AS flow FROM waves w JOIN index x ON x.symbol = w.symbol AND x.date > w.start_date AND x.date <= w.end_date LEFT JOIN flow ON flow.date = x.date GROUP BY ALL)
+SELECT symbol, type, count(*) AS n_waves, round(avg(flow), 2) AS mean_flow FROM f GROUP BY 1, 2""",
+        "api_envelope": FULL + ENVELOPE,
+        "text_report": FULL + f", t AS ({WINRATE}) SELECT printf('%4d | %3d | %8d | %8.2f | %8.3f', horizon, signal, n_signals, round(win_rate, 2), round(median_profit, 3)) AS value FROM t",
         "window_shape": f"""WITH {ORDER_BARS}, s AS (SELECT symbol, date, close, count(*) OVER w AS n, avg(close) OVER w AS m, stddev_pop(close) OVER w AS sd, first(close) OVER w AS f FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
 SELECT symbol, date, round((f - m) / sd, 4) AS first, round((close - m) / sd, 4) AS last FROM s WHERE n = 30 AND sd > 0""",
         "embedding_top1": """WITH p AS (SELECT q.vec_id AS vec_id, e.vec_id AS match_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS similarity

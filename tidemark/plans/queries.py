@@ -47,11 +47,15 @@ def histogram_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.histogram(order_signals(spark, sf_dir), "max_drawdown")
 
 
-def factor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars left-joined by date with the day's flow and its 5 and 20 day sums."""
-    bars = src.order_bars(spark, sf_dir)
+def daily_flow(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
+    """Bars left-joined by date with the day's flow."""
     flow = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.sum("l_quantity"), 2).alias("flow"))
-    rows = bars.join(flow, "date", "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
+    return bars.join(flow, "date", "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
+
+
+def factor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with the day's flow and its 5 and 20 day sums."""
+    rows = daily_flow(spark, sf_dir, src.order_bars(spark, sf_dir))
     return rows.select("symbol", "date", "flow", F.round(ind.rolling_sum("flow", 5), 2).alias("flow_5"), F.round(ind.rolling_sum("flow", 20), 2).alias("flow_20"), F.round(ind.change_over("close", 5), 2).alias("change_5"), F.round(ind.moving_average("close", 20), 4).alias("ma_20"))
 
 
@@ -96,6 +100,11 @@ def zigzag(spark: SparkSession, sf_dir: str, pct: float = 5.0) -> DataFrame:
     return waves.waves(src.order_index(spark, sf_dir), pct)
 
 
+def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zigzag's legs, without range waves."""
+    return waves.waves(src.order_index(spark, sf_dir), range_days=2**31 - 1)
+
+
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = src.order_index(spark, sf_dir)
     return index.select("symbol", "date", F.col("close").alias("open"), F.col("close").alias("high"), F.col("close").alias("low"), "close", "volume")
@@ -150,6 +159,9 @@ def queries() -> dict[str, Query]:
         "winrate_levels": lambda s, d: waves.winrate_levels(runs(s, d)),
         "waves_zigzag": zigzag,
         "waves_long": lambda s, d: zigzag(s, d, 10.0),
+        "zigzag_legs": legs,
+        "open_leg": lambda s, d: waves.open_wave(legs(s, d), src.order_index(s, d)),
+        "wave_flow": lambda s, d: waves.wave_flow(runs(s, d), daily_flow(s, d, src.order_index(s, d))),
         "early_warning": lambda s, d: waves.early_warning(src.order_index(s, d)),
         "open_wave": lambda s, d: waves.open_wave(zigzag(s, d), src.order_index(s, d)),
         "window_shape": window_shape,
