@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from tidemark.llm import oracle
 from tidemark.llm.decontamination import op1_decontamination
 from tidemark.llm.html_extract import op2_html_extract
 from tidemark.llm.line_dedup import op8_line_dedup
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
