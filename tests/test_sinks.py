@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidemark.sources import sinks
+from tidemark.sources import bars, sinks
 
 
 def test_envelope(spark):
@@ -18,3 +18,33 @@ def test_envelope(spark):
     ]
     shared = {"last_update": "2024-02-01 00:00:00", "future_days": [5, 20]}
     assert got == {"a": {"symbol": "a", "data_range": "x ~ y", "total_days": 3, **shared, "signals": entries}, "b": {"symbol": "b", "data_range": "x ~ z", "total_days": 1, **shared, "signals": []}}
+
+
+def test_csv_files(spark, tmp_path):
+    rows = [("a", 30, "level, straight", "up", "2024-01-03", 10.0, 99.5, "pending", "b", "2020-01-02", 12.345), ("c", 30, "level, straight", "down", "2024-01-03", 9.0, 99.75, "weak", "b", "2020-01-02", -8.0)]
+    scan = spark.createDataFrame(rows, "symbol string, period int, pattern string, direction string, date string, close double, similarity double, status string, match_symbol string, match_date string, match_move double")
+    names = spark.createDataFrame([("a", "Alpha")], "symbol string, name string")
+    out = sinks.pattern_rows(scan, names)
+    sinks.write_csv(out.coalesce(1), f"{tmp_path}/p", [F.desc(sinks.PATTERN_COLUMNS[7])], bom=True)
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "p").glob("*.csv")))
+    assert raw.startswith(b"\xef\xbb\xbf")
+    lines = raw.decode("utf-8-sig").splitlines()
+    assert lines[0].split(",") == sinks.PATTERN_COLUMNS
+    assert lines[1:] == ['c,c,30日,"level, straight",大跌,2024-01-03,9.0,99.75%,weak,b,2020-01-02,-8.00%', 'a,Alpha,30日,"level, straight",大漲,2024-01-03,10.0,99.50%,pending,b,2020-01-02,12.35%']
+
+
+def test_cache(spark, tmp_path):
+    calls = []
+
+    def fetch(last="2024-01-05"):
+        calls.append(last)
+        return spark.createDataFrame([("a", "2024-01-01", 1.0), ("a", last, 2.0), ("b", last, 3.0)], "symbol string, date string, close double").withColumn("date", F.col("date").cast("date"))
+
+    path = f"{tmp_path}/cache"
+    load = lambda day: bars.load_or_refresh(spark, path, fetch, day)
+    assert load("2024-01-05").count() == 3 and len(calls) == 1  # no cache
+    assert load("2024-01-06").count() == 3 and len(calls) == 1  # fresh
+    assert load("2024-01-08").count() == 3 and len(calls) == 2  # stale
+    for file in (tmp_path / "cache").rglob("*.parquet"):
+        file.write_bytes(b"not a table")
+    assert load("2024-01-05").count() == 3 and len(calls) == 3  # damaged

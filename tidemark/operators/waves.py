@@ -149,7 +149,7 @@ def winrate_levels(waves: DataFrame) -> DataFrame:
     target percent, price, and whether the close is there."""
     found = ratios(waves)
     rows = found.where("ratio is not null")
-    ordered = rows.select("symbol", "type", F.round("ratio", 4).alias("ratio"), (F.row_number().over(Window.partitionBy("symbol", "type").orderBy("ratio", "seq")) - 1).alias("at"), F.count("*").over(Window.partitionBy("symbol", "type")).alias("n"))
+    ordered = rows.select("symbol", "type", "ratio", (F.row_number().over(Window.partitionBy("symbol", "type").orderBy("ratio", "seq")) - 1).alias("at"), F.count("*").over(Window.partitionBy("symbol", "type")).alias("n"))
     levels = F.explode(F.array(*[F.struct(F.lit(w).alias("win_rate"), F.floor(F.col("n") * F.lit(1 - w)).alias("at")) for w in WIN_RATES]))
     groups = ordered.groupBy("symbol", "type").agg(F.max("n").alias("n")).select("symbol", "type", levels.alias("l")).select("symbol", "type", "l.*")
     picked = groups.join(ordered.drop("n"), ["symbol", "type", "at"])
@@ -158,7 +158,7 @@ def winrate_levels(waves: DataFrame) -> DataFrame:
     target = F.round(F.col("ratio") * F.col("prev_pct"), 2)
     price = F.round(F.col("start_val") * (1 + sign * F.col("ratio") * F.col("prev_pct") / 100), 2)
     reached = F.when(F.col("type") == "down", F.col("end_val") <= price).otherwise(F.col("end_val") >= price)
-    return picked.join(now, ["symbol", "type"]).select("symbol", "type", F.round("win_rate", 1).alias("win_rate"), "ratio", target.alias("target_pct"), price.alias("price"), reached.alias("reached"))
+    return picked.join(now, ["symbol", "type"]).select("symbol", "type", F.round("win_rate", 1).alias("win_rate"), F.round("ratio", 4).alias("ratio"), target.alias("target_pct"), price.alias("price"), reached.alias("reached"))
 
 
 def open_wave(waves: DataFrame, bars: DataFrame) -> DataFrame:

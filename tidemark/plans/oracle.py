@@ -120,10 +120,10 @@ SELECT symbol, date, flow, round(sum(flow) OVER (w ROWS BETWEEN 4 PRECEDING AND
         "wave_symmetry": f"WITH {RUNS} SELECT symbol, type, count(*) AS n_pairs, round(100 * avg(ratio), 2) AS mean_ratio_pct, round(100 * avg(CASE WHEN ratio BETWEEN 0.8::DOUBLE AND 1.25::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 2) AS near_pct FROM ratios WHERE ratio IS NOT NULL GROUP BY 1, 2",
         "exhaustion": f"""WITH {RUNS}, x AS (SELECT symbol, type, total_vol, lag(total_vol) OVER (PARTITION BY symbol, type ORDER BY seq) AS pv, lead(type) OVER (PARTITION BY symbol ORDER BY seq) AS nt FROM waves)
 SELECT symbol, count(*) AS n_waves, sum((total_vol < pv AND nt <> type)::INT)::BIGINT AS n_hits, round(100 * avg((total_vol < pv AND nt <> type)::INT), 2) AS accuracy FROM x WHERE pv IS NOT NULL AND nt IS NOT NULL GROUP BY 1""",
-        "winrate_levels": f"""WITH {RUNS}, o AS (SELECT symbol, type, round(ratio, 4) AS ratio, row_number() OVER (PARTITION BY symbol, type ORDER BY ratio, seq) - 1 AS at, count(*) OVER (PARTITION BY symbol, type) AS n FROM ratios WHERE ratio IS NOT NULL),
+        "winrate_levels": f"""WITH {RUNS}, o AS (SELECT symbol, type, ratio, row_number() OVER (PARTITION BY symbol, type ORDER BY ratio, seq) - 1 AS at, count(*) OVER (PARTITION BY symbol, type) AS n FROM ratios WHERE ratio IS NOT NULL),
 lv(win_rate, rest) AS (VALUES {_LEVELS}), now AS (SELECT * FROM ratios WHERE is_open AND prev_pct IS NOT NULL),
 p AS (SELECT now.symbol, now.type, win_rate, o.ratio, o.ratio * now.prev_pct AS t, now.start_val, now.end_val, CASE WHEN now.type = 'down' THEN -1.0 ELSE 1.0 END AS s FROM now JOIN o ON o.symbol = now.symbol AND o.type = now.type JOIN lv ON o.at = floor(o.n * rest)::BIGINT)
-SELECT symbol, type, round(win_rate, 1) AS win_rate, ratio, round(t, 2) AS target_pct, round(start_val * (1 + s * t / 100), 2) AS price, CASE WHEN type = 'down' THEN end_val <= round(start_val * (1 + s * t / 100), 2) ELSE end_val >= round(start_val * (1 + s * t / 100), 2) END AS reached FROM p""",
+SELECT symbol, type, round(win_rate, 1) AS win_rate, round(ratio, 4) AS ratio, round(t, 2) AS target_pct, round(start_val * (1 + s * t / 100), 2) AS price, CASE WHEN type = 'down' THEN end_val <= round(start_val * (1 + s * t / 100), 2) ELSE end_val >= round(start_val * (1 + s * t / 100), 2) END AS reached FROM p""",
         "waves_zigzag": f"WITH {zigzag(5.0)} SELECT * FROM waves",
         "waves_long": f"WITH {zigzag(10.0)} SELECT * FROM waves",
         "zigzag_legs": f"WITH {zigzag(5.0, ALL_DAYS)} SELECT * FROM waves",
@@ -132,6 +132,10 @@ SELECT symbol, type, round(win_rate, 1) AS win_rate, ratio, round(t, 2) AS targe
         "open_leg": f"WITH {zigzag(5.0, ALL_DAYS)}{OPEN_WAVE}",
         "wave_flow": f"""WITH {RUNS}, {FLOW}, f AS (SELECT w.symbol, w.type, w.seq, sum(coalesce(flow, 0.0)) AS flow FROM waves w JOIN index x ON x.symbol = w.symbol AND x.date > w.start_date AND x.date <= w.end_date LEFT JOIN flow ON flow.date = x.date GROUP BY ALL)
 SELECT symbol, type, count(*) AS n_waves, round(avg(flow), 2) AS mean_flow FROM f GROUP BY 1, 2""",
+        "wave_segments": f"WITH {RUNS} SELECT symbol, type, start_date, end_date, start_val, end_val, pct, round(point_change, 2) AS point_change, days, total_vol, vpp FROM waves",
+        "wave_report": f"""WITH {RUNS}, s AS (SELECT symbol, type, count(*) AS n, round(avg(abs(pct)), 2) AS m, round(median(abs(pct)), 2) AS d, round(avg(days), 1) AS t FROM waves GROUP BY 1, 2)
+SELECT symbol, 1 AS section, printf('open wave: %-5s since %s (%.2f), now %.2f, %.2f%%, %d days', type, start_date::VARCHAR, start_val, end_val, pct, days) AS value FROM waves WHERE is_open
+UNION ALL SELECT symbol, 2, printf('%-5s waves: %5d, mean %6.2f%% (median %6.2f%%), %5.1f days', type, n, m, d, t) FROM s""",
         "api_envelope": FULL + ENVELOPE,
         "text_report": FULL + f", t AS ({WINRATE}) SELECT printf('%4d | %3d | %8d | %8.2f | %8.3f', horizon, signal, n_signals, round(win_rate, 2), round(median_profit, 3)) AS value FROM t",
         "window_shape": f"""WITH {ORDER_BARS}, s AS (SELECT symbol, date, close, count(*) OVER w AS n, avg(close) OVER w AS m, stddev_pop(close) OVER w AS sd, first(close) OVER w AS f FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))

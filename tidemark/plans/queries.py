@@ -143,7 +143,7 @@ def queries() -> dict[str, Query]:
         "forward_excursion": order_signals,
         "side_filter": side_filter,
         "winrate": winrate,
-        "histogram": lambda s, d: stats.histogram(order_signals(s, d)),
+        "histogram": lambda s, d: stats.histogram(order_signals(s, d)).orderBy("horizon", "bin"),
         "histogram_drawdown": histogram_drawdown,
         "series_summary": lambda s, d: stats.summary(src.order_bars(s, d)),
         "factor_join": factor_join,
@@ -162,12 +162,14 @@ def queries() -> dict[str, Query]:
         "zigzag_legs": legs,
         "open_leg": lambda s, d: waves.open_wave(legs(s, d), src.order_index(s, d)),
         "wave_flow": lambda s, d: waves.wave_flow(runs(s, d), daily_flow(s, d, src.order_index(s, d))),
+        "wave_segments": lambda s, d: sinks.segments(runs(s, d)),
+        "wave_report": lambda s, d: sinks.wave_report(runs(s, d)),
         "early_warning": lambda s, d: waves.early_warning(src.order_index(s, d)),
         "open_wave": lambda s, d: waves.open_wave(zigzag(s, d), src.order_index(s, d)),
         "window_shape": window_shape,
         "embedding_top1": lambda s, d: patterns.top_cosine(s.read.parquet(f"{d}/embeddings.parquet")),
         "embedding_top1_all": lambda s, d: patterns.nearest(s.read.parquet(f"{d}/embeddings.parquet")),
-        "pattern_scan": lambda s, d: scans(s, d).select("period", "symbol", "date", "direction", "pattern", "similarity", "match_symbol", "match_date", "match_move", "status"),
+        "pattern_scan": lambda s, d: scans(s, d).select("period", "symbol", "date", "direction", "pattern", "similarity", "match_symbol", "match_date", "match_move", "status").orderBy("period", F.desc("similarity"), "symbol"),
         "pattern_status": lambda s, d: patterns.status_counts(scans(s, d)),
         "pattern_top": lambda s, d: patterns.top_per_list(scans(s, d)).select("period", "direction", "rank", "symbol", "similarity"),
         "resonance": resonance,

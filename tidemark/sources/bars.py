@@ -3,6 +3,10 @@ files.  Every reader keeps one row per (symbol, date)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,5 +91,19 @@ def write_cache(bars: DataFrame, path: str) -> None:
     bars.repartition("symbol").sortWithinPartitions("symbol", "date").write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
+def load_or_refresh(spark: SparkSession, path: str, fetch: Callable[[], DataFrame], as_of: str, days: int = 1) -> DataFrame:
+    """The cached bars; where the cache is missing, empty, damaged or has a
+    symbol that is not fresh, ``fetch`` is called and its bars are cached anew.
+
+    The freshness test reads the dates of every file, so it also finds damage."""
+    try:
+        state = fresh(read_cache(spark, path), as_of, days).agg(F.min("is_fresh").alias("f")).first()["f"]
+    except (PySparkException, Py4JJavaError):
+        state = None
+    if not state:
+        write_cache(fetch(), path)
+    return read_cache(spark, path)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

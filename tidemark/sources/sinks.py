@@ -29,8 +29,44 @@ def envelope(signals: DataFrame, summary: DataFrame, future_days: list[int] | No
     return out.select("symbol", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def write_csv(df: DataFrame, path: str, order: list[Column]) -> None:
-    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+#: Fixed values of the pattern file: its columns and the words of its cells.
+PATTERN_COLUMNS = ["股票代碼", "股票名稱", "週期", "型態分類", "預測方向", "最新日期", "最新收盤", "型態相似度", "當前狀態", "匹配歷史股票", "歷史爆發日期", "歷史參考漲跌幅"]
+DIRECTIONS = {"up": "大漲", "down": "大跌"}
+
+
+def write_csv(df: DataFrame, path: str, order: list[Column], bom: bool = False) -> None:
+    """CSV with a header in the given order; ``bom`` puts a byte order mark
+    before it, which spreadsheets read UTF-8 by."""
+    rows = df.orderBy(*order)
+    if bom:
+        rows = rows.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def segments(waves: DataFrame) -> DataFrame:
+    """The columns of the segments file, after the symbol."""
+    return waves.select("symbol", "type", "start_date", "end_date", "start_val", "end_val", "pct", F.round("point_change", 2).alias("point_change"), "days", "total_vol", "vpp")
+
+
+def pattern_rows(scan: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The pattern file's twelve text columns.  names: (symbol, name); a symbol
+    without one is its own name."""
+    rows = scan.withColumn("name", F.col("symbol")) if names is None else scan.join(names, "symbol", "left").withColumn("name", F.coalesce("name", "symbol"))
+    ways = F.create_map(*[F.lit(x) for pair in DIRECTIONS.items() for x in pair])
+    cells = [
+        F.col("symbol"), F.col("name"), F.format_string("%d日", "period"), F.col("pattern"), ways[F.col("direction")], F.col("date").cast("string"), F.col("close").cast("string"),
+        F.format_string("%.2f%%", "similarity"), F.col("status"), F.col("match_symbol"), F.col("match_date").cast("string"), F.format_string("%.2f%%", "match_move"),
+    ]
+    return rows.select(*[c.alias(n) for c, n in zip(cells, PATTERN_COLUMNS, strict=True)])
+
+
+def wave_report(waves: DataFrame) -> DataFrame:
+    """Report lines (symbol, section, value): the open wave, then each type's
+    count, mean and median size and mean days."""
+    now = waves.where("is_open").select("symbol", F.lit(1).alias("section"), F.format_string("open wave: %-5s since %s (%.2f), now %.2f, %.2f%%, %d days", "type", F.col("start_date").cast("string"), "start_val", "end_val", "pct", "days").alias("value"))
+    size = F.abs("pct")
+    types = waves.groupBy("symbol", "type").agg(F.count("*").alias("n"), F.round(F.avg(size), 2).alias("mean"), F.round(F.median(size), 2).alias("median"), F.round(F.avg("days"), 1).alias("days"))
+    return now.unionByName(types.select("symbol", F.lit(2).alias("section"), F.format_string("%-5s waves: %5d, mean %6.2f%% (median %6.2f%%), %5.1f days", "type", "n", "mean", "median", "days").alias("value")))
 
 
 def report_lines(df: DataFrame, pattern: str, columns: list[str]) -> DataFrame:
