@@ -63,6 +63,13 @@ def small_enough(rows: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return rows.limit(most + 1).count() <= most
 
 
+def narrow(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (a few ids each) stored, and marked for a broadcast if they are
+    counted to be few enough; beyond, joins with them shuffle both sides."""
+    rows = stored(rows, name)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, mod n; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n

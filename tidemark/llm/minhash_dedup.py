@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import narrow, stored, table
 from tidemark.llm.linking import link
 
 BANDS, ROWS = 48, 6
@@ -214,14 +214,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     thousands of copies cost one signature in the buckets."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(rows.mapInPandas(signer(width, "id", "text"), "id long, n_shingles long, s1 long, s2 long, keys binary, sketch binary"), "sketches")
-    nodes = (
+    firsts = (
         signed.where("n_shingles > 0 and id is not null")
         .groupBy("s1", "s2", "n_shingles")
         .agg(F.min(F.struct("id", "keys", "sketch")).alias("rep"))
         .select("rep.id", "rep.keys", "rep.sketch")
     )
+    # Read by every round, so it is made once.
+    nodes = stored(firsts, "nodes")
 
     def refine(rows: DataFrame, best: bool) -> DataFrame:
+        rows = stored(rows, "mixed")
         labels = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
         shape = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
         shape = shape.select("key", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("is"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("js"))
@@ -231,11 +234,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         partners = dealt.select("key", "id", "label", "minor", F.lit(False).alias("seeks"), place("is", 1).alias("i"), F.explode(F.expr("sequence(0L, js - 1)")).alias("j"))
         seekers = dealt.where("minor").select("key", "id", "label", "minor", F.lit(True).alias("seeks"), F.explode(F.expr("sequence(0L, `is` - 1)")).alias("i"), place("js", 2).alias("j"))
         known = nodes.select("id", "sketch", F.lit(b"").alias("keys")) if best else nodes
+        # Only the sketches that are compared move.
+        known = known.join(narrow(rows.select("id").distinct(), "mixed-ids"), "id", "left_semi")
         full = partners.unionByName(seekers).join(known, "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
         return full.mapInPandas(comparer(percent, best), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        ends = narrow(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
         texts = stored(rows.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return both.mapInPandas(verifier(width, percent), "a long, b long")
