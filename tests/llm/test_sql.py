@@ -1,5 +1,5 @@
 """Operators whose results SQL can express, against DuckDB: the tables of sf0.01
-and a small set with equal pages, repeated lines, nulls and empty texts."""
+and a small set with equal pages and vectors, repeated lines, nulls and empty texts."""
 
 import duckdb
 import pandas as pd
@@ -8,7 +8,7 @@ import pytest
 from tidemark.llm import entry
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-TABLES = ["documents", "benchmark", "pages"]
+TABLES = ["documents", "benchmark", "pages", "embeddings"]
 
 
 def compare(spark, name, folder):
@@ -40,12 +40,16 @@ def small(spark, tmp_path_factory):
     spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "Nine, TEN"), (10, item.upper())], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     html = [None, "", "<p>a</p>", "<p>a</p>", "<p>ü</p>", "<p>a</p>", "<p>A</p>"]
     spark.createDataFrame([(i, f"https://e.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(3).write.parquet(f"{folder}/pages.parquet")
+    near = [[1.0, 0.0, 0.0], [0.95, 0.1, 0.0], [0.8, 0.35, 0.0], [0.0, 0.0, 1.0], [0.0, 0.0, 2.0], [0.0, 0.0, 0.0], None, [1.0, None, 0.0], [float("nan"), 1.0, 0.0], [1.0, 0.0], []]
+    vectors = [(i, near[i % len(near)], [None, 0, 1][(i // len(near)) % 3]) for i in range(210)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_small(spark, name, small):
-    got = compare(spark, name, small).set_index("page_id" if "warc" in name else "doc_id")
+    got = compare(spark, name, small)
+    got = got.set_index(got.columns[0])
     if "warc" in name:
         assert got["refers_to"].dropna().to_dict() == {0: 1, 2: 5, 3: 5}
     if "op1_" in name:

@@ -70,6 +70,17 @@ def narrow(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def look_up(rows: DataFrame, facts: DataFrame, key: list[str], share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row for every key and
+    its number of rows, n.  Keys of more than a ``share``-th of all rows, so fewer
+    than ``share`` keys, are broadcast; the others are joined by a shuffle, in which
+    no key is hot.  Null keys match nothing."""
+    total = facts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.broadcast(stored(facts.where(F.col("n") * share > total), "hot"))
+    cold = facts.where(F.col("n") * share <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, mod n; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n

@@ -57,6 +57,35 @@ _DIGITS = " || ".join(f"substr('{UPPER}234567', (((('0x' || substr(h, {5 * g + 1
 OP10 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p"""
 
+_FINE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_DOT = "list_dot_product({}::DOUBLE[], {}::DOUBLE[])"
+OP11 = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding AS e, len(embedding) AS d, {_DOT.format("embedding", "embedding")} AS l FROM embeddings WHERE vec_id IS NOT NULL AND {_FINE}),
+way AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND a.d = b.d AND a.l > 0 AND b.l > 0 AND {_DOT.format("a.e", "b.e")} >= 0.9::DOUBLE * sqrt(a.l * b.l)),
+reach AS (SELECT a AS id, b AS other FROM way UNION SELECT reach.id, way.b FROM reach JOIN way ON way.a = reach.other),
+cmp AS (SELECT id, min(other) AS label FROM reach GROUP BY 1), n AS (SELECT a AS id, count(*) AS n FROM way GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(cmp.label, vec_id) AS component_id, coalesce(cmp.label, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.id = vec_id LEFT JOIN cmp ON cmp.id = vec_id"""
+
+#: The CRC-32 of a text's UTF-8 bytes, a byte a step, by the table of the reflected polynomial.
+_CRC = """tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+crc AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM every)), tab)"""
+_RUNS = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))"
+#: For tables whose doc_ids are distinct.
+OP12 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+every AS MATERIALIZED (SELECT doc_id, false AS aim, {_RUNS} AS f FROM d UNION ALL SELECT NULL, true, {_RUNS} FROM b), {_CRC},
+k AS (SELECT i AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM (SELECT unnest(range(10000)) AS i) LEFT JOIN (SELECT bucket, sum((NOT aim)::INT) AS s, sum(aim::INT) AS t FROM every JOIN crc USING (f) GROUP BY 1) ON bucket = i),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g FROM k),
+wt AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS weight FROM every JOIN crc USING (f) JOIN gain USING (bucket) WHERE NOT aim GROUP BY 1),
+sc AS (SELECT doc_id, len(w) >= 20 AS fit, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM d LEFT JOIN wt USING (doc_id)),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM sc WHERE fit)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM sc LEFT JOIN rk USING (doc_id)"""
+
+#: For tables whose vec_ids are distinct.
+OP13 = f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e, len(embedding) AS d FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINE}),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.d = b.d),
+p AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.a, p.b, p.score AS ps, s.b AS neg, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, b AS positive_id, r::INT AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op3_minhash_dedup": OP3, "op8_line_dedup": OP8, "op10_warc_zip": OP10}
+    return {"op11_embedding_dedup": OP11, "op12_resampling": OP12, "op13_hard_negatives": OP13, "op1_decontamination": OP1, "op3_minhash_dedup": OP3, "op8_line_dedup": OP8, "op10_warc_zip": OP10}
