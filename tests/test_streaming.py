@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators
 from tidemark.operators import waves
+from tidemark.sources.store import BarStore
 from tidemark.streaming import refresh
 
 SCHEMA = "symbol string, date timestamp, close double"
@@ -32,7 +33,7 @@ def test_upsert(spark, tmp_path):
     later = bars.where("date >= '2024-01-20'").withColumn("close", F.col("close") + 1000)
     source = files([bars.where("date < '2024-01-22'"), later], str(tmp_path))
     refresh.stream_upsert(spark, source, SCHEMA, f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/t/version=1")
+    got = BarStore(spark, f"{tmp_path}/t").read()
     assert got.count() == 40 and got.where("close > 1000").count() == later.count()
 
 
@@ -41,7 +42,7 @@ def test_upsert_within_a_batch(spark, tmp_path):
     twice = bars.union(bars.withColumn("close", F.col("close") + 1000).withColumn("volume", F.lit(2)))
     source = files([twice], str(tmp_path))
     refresh.stream_upsert(spark, source, SCHEMA + ", volume int", f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/t/version=0")
+    got = BarStore(spark, f"{tmp_path}/t").read()
     assert got.count() == got.where("close > 1000").count() == 40
 
 

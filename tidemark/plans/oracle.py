@@ -11,6 +11,10 @@ ORDER_BARS = """bars AS (SELECT o_orderpriority AS symbol, o_orderdate::DATE AS
 INDEX = """daily AS (SELECT o_orderpriority AS symbol, o_orderdate::DATE AS date, sum(o_totalprice) AS total, count(*)::BIGINT AS volume FROM orders GROUP BY ALL),
 z AS (SELECT symbol, date, volume, (total - avg(total) OVER (PARTITION BY symbol)) / stddev_samp(total) OVER (PARTITION BY symbol) AS z FROM daily),
 index AS (SELECT symbol, date, round(100 + sum(z) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 2) AS close, volume FROM z)"""
+WALK = """daily AS (SELECT o_orderpriority AS symbol, o_orderdate::DATE AS date, sum(o_totalprice) AS total, count(*)::BIGINT AS volume FROM orders GROUP BY ALL),
+early AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY date) <= 250 THEN total END AS t FROM daily),
+z AS (SELECT symbol, date, volume, (total - avg(t) OVER (PARTITION BY symbol)) / stddev_samp(t) OVER (PARTITION BY symbol) AS z FROM early),
+index AS (SELECT symbol, date, round(100 + sum(z) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) / 2, 2) AS close, volume FROM z)"""
 RSI = """pos AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, close - lag(close) OVER w AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 wt AS (SELECT *, CASE WHEN i <= 14 THEN 1.0::DOUBLE / 14 ELSE 1.0::DOUBLE / 14 * pow(14.0::DOUBLE / 13, i - 14) END AS w FROM pos),
 gl AS (SELECT *, sum(w * greatest(coalesce(d, 0), 0)) OVER r AS g, sum(w * greatest(-coalesce(d, 0), 0)) OVER r AS l FROM wt WINDOW r AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
@@ -55,10 +59,10 @@ ratios AS (SELECT *, abs(lag(pct) OVER (PARTITION BY symbol, type ORDER BY seq))
 _LEVELS = ", ".join(f"({w / 10!r}::DOUBLE, {1 - w / 10!r}::DOUBLE)" for w in range(10, 0, -1))
 
 
-def zigzag(pct: float, range_days: int = 22, range_pct: float = 3.5) -> str:
+def zigzag(pct: float, range_days: int = 22, range_pct: float = 3.5, index: str = INDEX) -> str:
     """Waves of the index: the turning points by a recursion over the bars, the
     range waves by a recursion over the legs."""
-    return f"""RECURSIVE {INDEX}, b AS MATERIALIZED (SELECT symbol, date, close, (row_number() OVER w - 1)::INT AS i, (count(*) OVER (PARTITION BY symbol))::INT AS n, sum(volume) OVER (w ROWS UNBOUNDED PRECEDING) AS cv FROM index WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    return f"""RECURSIVE {index}, b AS MATERIALIZED (SELECT symbol, date, close, (row_number() OVER w - 1)::INT AS i, (count(*) OVER (PARTITION BY symbol))::INT AS n, sum(volume) OVER (w ROWS UNBOUNDED PRECEDING) AS cv FROM index WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 zz AS (SELECT symbol, 0 AS i, 0 AS hi, close AS hic, 0 AS lo, close AS loc, 0 AS way, 0 AS last, NULL::INT AS turn FROM b WHERE i = 0 UNION ALL
  SELECT symbol, i, CASE WHEN up THEN i ELSE hi END, CASE WHEN up THEN c ELSE hic END, CASE WHEN down THEN i ELSE lo END, CASE WHEN down THEN c ELSE loc END, CASE WHEN down THEN -1 WHEN up THEN 1 ELSE way END, coalesce(turned, last), turned
  FROM (SELECT *, CASE WHEN down AND hi <> last THEN hi WHEN up AND lo <> last THEN lo END AS turned
@@ -130,6 +134,18 @@ SELECT symbol, type, round(win_rate, 1) AS win_rate, round(ratio, 4) AS ratio, r
         "early_warning": f"WITH {zigzag(3.0, ALL_DAYS)} SELECT symbol, type AS state, start_date AS turn_date, start_val AS base_price, pct AS cumulative_pct, days FROM waves WHERE is_open",
         "open_wave": f"WITH {zigzag(5.0)}{OPEN_WAVE}",
         "open_leg": f"WITH {zigzag(5.0, ALL_DAYS)}{OPEN_WAVE}",
+        "walk_index": f"WITH {WALK} SELECT * FROM index",
+        "walk_waves": f"WITH {zigzag(5.0, index=WALK)} SELECT * FROM waves",
+        "walk_waves_long": f"WITH {zigzag(10.0, index=WALK)} SELECT * FROM waves",
+        "walk_legs": f"WITH {zigzag(5.0, ALL_DAYS, index=WALK)} SELECT * FROM waves",
+        "walk_open_wave": f"WITH {zigzag(5.0, index=WALK)}{OPEN_WAVE}",
+        "rsi_blocks": events_rsi,
+        "signals_blocks": FULL + "SELECT * FROM long",
+        "signals_v2_blocks": f"WITH {ORDER_BARS}, {RSI}, {extremes(5)}, {PAIRED}, {LONG} SELECT * FROM long",
+        "winrate_blocks": FULL + WINRATE,
+        "upsert_store": f"WITH {ORDER_BARS} SELECT symbol, date, CASE WHEN date >= DATE '1998-06-01' THEN round(close + 2, 2) WHEN date >= DATE '1998-03-01' THEN round(close + 1, 2) ELSE close END AS close FROM bars",
+        "factor_asof": f"""WITH {ORDER_BARS}, f AS (SELECT o_orderpriority AS symbol, l_shipdate::DATE AS date, count(*)::BIGINT AS n_trades, round(sum(l_extendedprice), 2) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY ALL)
+SELECT b.symbol, b.date, b.close, CASE WHEN b.date - f.date <= 5 THEN n_trades END AS n_trades, CASE WHEN b.date - f.date <= 5 THEN value END AS value FROM bars b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.date >= f.date""",
         "wave_flow": f"""WITH {RUNS}, {FLOW}, f AS (SELECT w.symbol, w.type, w.seq, sum(coalesce(flow, 0.0)) AS flow FROM waves w JOIN index x ON x.symbol = w.symbol AND x.date > w.start_date AND x.date <= w.end_date LEFT JOIN flow ON flow.date = x.date GROUP BY ALL)
 SELECT symbol, type, count(*) AS n_waves, round(avg(flow), 2) AS mean_flow FROM f GROUP BY 1, 2""",
         "wave_segments": f"WITH {RUNS} SELECT symbol, type, start_date, end_date, start_val, end_val, pct, round(point_change, 2) AS point_change, days, total_vol, vpp FROM waves",

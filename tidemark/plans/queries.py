@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import blocks
 from tidemark.functions import indicators as ind
 from tidemark.operators import patterns, stats, waves
+from tidemark.operators import zigzag as zz
+from tidemark.operators.asof import asof_join
 from tidemark.sources import bars as src
 from tidemark.sources import sinks
+from tidemark.sources.store import BarStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +71,33 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.upsert(bars.where("date < date'1999-01-01'"), newer).select("symbol", "date", "close")
 
 
+def upsert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars kept in a versioned store: a base and two deltas that change later
+    bars, then merged into a new base."""
+    bars = src.order_bars(spark, sf_dir)
+    more = lambda day, x: bars.where(F.col("date") >= F.lit(day).cast("date")).withColumn("close", F.round(F.col("close") + x, 2))
+    store = BarStore(spark, f"{blocks.shared_dir(spark)}/bars-{uuid.uuid4().hex}")
+    store.write(bars.where("date < date'1999-01-01'"))
+    store.write(more("1998-03-01", 1))
+    store.write(more("1998-06-01", 2))
+    store.compact()
+    return store.read().select("symbol", "date", "close")
+
+
+def factor_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with the last large trades known at their date, of five days at most."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 49").select("l_orderkey", "l_shipdate", "l_extendedprice")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    trades = joined.groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(F.count("*").alias("n_trades"), F.round(F.sum("l_extendedprice"), 2).alias("value"))
+    return asof_join(src.order_bars(spark, sf_dir).select("symbol", "date", "close"), trades, ["symbol"], "date", "5 days")
+
+
+def walk_waves(spark: SparkSession, sf_dir: str, pct: float = 5.0, range_days: int = 22) -> DataFrame:
+    """Waves of a walk that does not return to its start, by blocks."""
+    return zz.waves_in_blocks(src.order_walk(spark, sf_dir), pct, range_days=range_days)
+
+
 def json_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars packed into parallel-array payloads (every seventh low is a gap) and
     taken apart again."""
@@ -164,6 +196,17 @@ def queries() -> dict[str, Query]:
         "wave_flow": lambda s, d: waves.wave_flow(runs(s, d), daily_flow(s, d, src.order_index(s, d))),
         "wave_segments": lambda s, d: sinks.segments(runs(s, d)),
         "wave_report": lambda s, d: sinks.wave_report(runs(s, d)),
+        "walk_index": lambda s, d: src.order_walk(s, d),
+        "walk_waves": walk_waves,
+        "walk_waves_long": lambda s, d: walk_waves(s, d, 10.0),
+        "walk_legs": lambda s, d: walk_waves(s, d, range_days=2**31 - 1),
+        "walk_open_wave": lambda s, d: waves.open_wave(walk_waves(s, d), src.order_walk(s, d)),
+        "rsi_blocks": lambda s, d: blocks.rsi(blocks.numbered(blocks.split(src.event_bars(s, d)))).select("symbol", "date", "close", "rsi"),
+        "signals_blocks": lambda s, d: blocks.signals(src.order_bars(s, d)),
+        "signals_v2_blocks": lambda s, d: blocks.signals(src.order_bars(s, d), width=5, min_gap=5, max_gap=60),
+        "winrate_blocks": lambda s, d: stats.winrate(blocks.stored(blocks.signals(src.order_bars(s, d)), "signals")),
+        "upsert_store": upsert_store,
+        "factor_asof": factor_asof,
         "early_warning": lambda s, d: waves.early_warning(src.order_index(s, d)),
         "open_wave": lambda s, d: waves.open_wave(zigzag(s, d), src.order_index(s, d)),
         "window_shape": window_shape,

@@ -53,6 +53,19 @@ def order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.select("symbol", "date", F.round(100 + F.sum("z").over(running), 2).alias("close"), "volume")
 
 
+def order_walk(spark: SparkSession, sf_dir: str, first: int = 250) -> DataFrame:
+    """Like ``order_index``, but with the mean and deviation of a symbol's ``first``
+    days and half the steps, so that the walk ends away from where it began."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    daily = o.groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("volume"))
+    by_date, whole = Window.partitionBy("symbol").orderBy("date"), Window.partitionBy("symbol")
+    early = F.when(F.row_number().over(by_date) <= first, F.col("total"))
+    daily = daily.withColumn("_t", early)
+    z = (F.col("total") - F.avg("_t").over(whole)) / F.stddev("_t").over(whole)
+    running = by_date.rowsBetween(Window.unboundedPreceding, 0)
+    return daily.withColumn("z", z).select("symbol", "date", F.round(100 + F.sum("z").over(running) / 2, 2).alias("close"), "volume")
+
+
 def unnest_payload(payloads: DataFrame, zone: str = "UTC") -> DataFrame:
     """Bars of (symbol, payload struct): arrays are zipped by position, rows
     with any gap in open, high, low or close go, prices are rounded to 2."""
@@ -80,11 +93,22 @@ def fresh(bars: DataFrame, as_of: str, days: int = 1) -> DataFrame:
     return last.withColumn("is_fresh", F.datediff(F.lit(as_of).cast("date"), "last_date") <= days)
 
 
+def one_each(bars: DataFrame) -> DataFrame:
+    """One bar for each symbol and date: that with the largest volume (a bar only
+    grows), ties by the other columns, so the choice never depends on the order."""
+    rest = sorted((c for c in bars.columns if c not in ("symbol", "date")), key=lambda c: (c != "volume", c))
+    if not rest:
+        return bars.distinct()
+    return bars.groupBy("symbol", "date").agg(F.max(F.struct(*rest)).alias("bar")).select("symbol", "date", "bar.*").select(*bars.columns)
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The union by (symbol, date); a new row replaces the old one."""
-    both = old.withColumn("_load", F.lit(0)).unionByName(new.withColumn("_load", F.lit(1)))
-    last = Window.partitionBy("symbol", "date").orderBy(F.desc("_load"))
-    return both.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_load")
+    """The union by (symbol, date), one row each; a new row replaces the old one,
+    and of several rows of a side ``one_each`` decides."""
+    both = one_each(old).withColumn("_load", F.lit(0)).unionByName(one_each(new).withColumn("_load", F.lit(1)))
+    rest = [c for c in old.columns if c not in ("symbol", "date")]
+    last = both.groupBy("symbol", "date").agg(F.max_by(F.struct(*rest, "_load"), "_load").alias("bar"))
+    return last.select(*[c if c in ("symbol", "date") else F.col(f"bar.{c}").alias(c) for c in old.columns])
 
 
 def write_cache(bars: DataFrame, path: str) -> None:

@@ -1,5 +1,5 @@
-"""Incremental refresh: a file stream whose micro-batches are merged into a
-bar table, and an RSI that carries its state from batch to batch."""
+"""Incremental refresh: a file stream whose micro-batches are added to a
+bar store, and an RSI that carries its state from batch to batch."""
 
 from __future__ import annotations
 
@@ -9,22 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.bars import upsert
+from tidemark.sources.store import BarStore
 
 
 def stream_upsert(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str):
-    """Read new parquet bars from ``source`` and merge them into ``target``,
-    versioned by batch so that a retried batch rewrites its own version; a
-    later bar replaces an earlier one of its date.  Within a batch, where no
-    order is known, the bar with the largest volume stays (a bar only grows),
-    ties by the other columns.  Returns the query."""
+    """Read new parquet bars from ``source`` and add each batch as a delta to the
+    ``BarStore`` at ``target``; a later bar replaces an earlier one of its date, and
+    a retried batch is added once.  Within a batch, where no order is known, the
+    bar with the largest volume stays, ties by the other columns.  Returns the query."""
+    store = BarStore(spark, target)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rest = sorted((c for c in batch.columns if c not in ("symbol", "date")), key=lambda c: (c != "volume", c))
-        new = batch.groupBy("symbol", "date").agg(F.max(F.struct(*rest)).alias("bar")).select("symbol", "date", "bar.*").select(*batch.columns)
-        if number > 0:
-            new = upsert(spark.read.parquet(f"{target}/version={number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{target}/version={number}")
+        store.write(batch, stream=source, batch=number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
