@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import functools
 import heapq
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -33,9 +35,38 @@ LIMIT = 2048
 END = 1
 
 
-#: A comma or full stop between a letter or digit and white space is a token
-#: of its own for the tokenizer, so it may be looked up apart from its word.
-APART = re.compile(r"[.,](?<=[^\W_][.,])(?=[ \n]|\Z)")
+def ends_word(c: str) -> bool:
+    """Whether a letter or digit is still one at its end once it is normalised, by
+    today's Unicode and by that of 2002, so that any library agrees."""
+    end = unicodedata.normalize("NFC", c).lower()[-1]
+    return all(u.category(x)[0] in "LN" for u in (unicodedata, unicodedata.ucd_3_2_0) for x in (c, end))
+
+
+def letter_class() -> str:
+    """The characters of the basic plane that end a word, as a regex class."""
+    fit = [c for c in range(0x10000) if ends_word(chr(c))]
+    firsts = [c for c, before in zip(fit, [-2, *fit], strict=False) if c != before + 1]
+    lasts = [c for c, after in zip(fit, [*fit[1:], -2], strict=True) if c != after - 1]
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(firsts, lasts, strict=True)) + "]"
+
+
+#: A comma or full stop between such a character and white space is a token of
+#: its own for the tokenizer, so it may be looked up apart from its word.  Where
+#: the letter becomes a letter and a mark, the mark and the comma are one token.
+APART = re.compile(rf"[.,](?<={letter_class()}[.,])(?=[ \n]|\Z)")
+#: What the cut into chunks relies on: the tokenizer's normalisers, and its words.
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check_tokenizer(path: str) -> None:
+    """Raises unless the file's tokenizer cuts text as ``WordCache`` expects."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    if [x["type"] for x in steps] != NORMALISERS or cuts[0].get("pattern") != {"Regex": WORDS}:
+        raise ValueError(f"{path}: not a word BPE in lower case; packing would give other ids than its tokenizer")
 
 
 class WordCache:
@@ -46,6 +77,7 @@ class WordCache:
     def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
+        check_tokenizer(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.known = most, {}
@@ -145,6 +177,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and with ``keep_ids`` the ids themselves."""
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    check_tokenizer(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
     pieces = durable(rows.mapInPandas(cutter(path, limit, end, keep_ids), schema))
