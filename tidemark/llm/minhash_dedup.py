@@ -114,7 +114,7 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def signer(width: int, id_col: str, text_col: str):
-    """Rows of (id, n_shingles, s1, s2, keys, sketch): s1 and s2 name the set;
+    """Rows of (id, h, n_shingles, s1, s2, keys, sketch): s1 and s2 name the set, h the text;
     keys are the band keys as 64-bit, sketch the low bytes of the coordinates."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +131,7 @@ def signer(width: int, id_col: str, text_col: str):
                 with np.errstate(over="ignore"):
                     s1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
                     s2 = [int(mix(s ^ MIX).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                yield pd.DataFrame({"id": part[id_col].to_numpy(), "n_shingles": [len(s) for s in sets], "s1": s1, "s2": s2, "keys": keys, "sketch": low})
+                yield pd.DataFrame({"id": part[id_col].to_numpy(), "h": part["h"].to_numpy(), "n_shingles": [len(s) for s in sets], "s1": s1, "s2": s2, "keys": keys, "sketch": low})
 
     return sign
 
@@ -210,15 +210,17 @@ def verifier(width: int, percent: int):
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for every row of ``docs``.
 
-    Documents with equal sets are one node, named by their smallest id, so that
-    thousands of copies cost one signature in the buckets."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(rows.mapInPandas(signer(width, "id", "text"), "id long, n_shingles long, s1 long, s2 long, keys binary, sketch binary"), "sketches")
+    Documents with equal sets are one node, named by a 64-bit hash of the set, so
+    that thousands of copies cost one signature in the buckets, and an id that
+    stands on several texts is in the class of each."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    signed = stored(rows.mapInPandas(signer(width, "id", "text"), "id long, h long, n_shingles long, s1 long, s2 long, keys binary, sketch binary"), "sketches")
+    name = F.xxhash64("s1", "s2", "n_shingles")
     firsts = (
         signed.where("n_shingles > 0 and id is not null")
-        .groupBy("s1", "s2", "n_shingles")
-        .agg(F.min(F.struct("id", "keys", "sketch")).alias("rep"))
-        .select("rep.id", "rep.keys", "rep.sketch")
+        .groupBy(name.alias("name"))
+        .agg(F.min(F.struct("id", "h", "keys", "sketch")).alias("rep"))
+        .select(F.col("name").alias("id"), F.col("rep.id").alias("doc"), "rep.h", "rep.keys", "rep.sketch")
     )
     # Read by every round, so it is made once.
     nodes = stored(firsts, "nodes")
@@ -233,23 +235,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         # A partner lies in one block i, next to every block j of seekers; a seeker in one block j, next to every i.
         partners = dealt.select("key", "id", "label", "minor", F.lit(False).alias("seeks"), place("is", 1).alias("i"), F.explode(F.expr("sequence(0L, js - 1)")).alias("j"))
         seekers = dealt.where("minor").select("key", "id", "label", "minor", F.lit(True).alias("seeks"), F.explode(F.expr("sequence(0L, `is` - 1)")).alias("i"), place("js", 2).alias("j"))
-        known = nodes.select("id", "sketch", F.lit(b"").alias("keys")) if best else nodes
+        known = nodes.select("id", "sketch", F.lit(b"").alias("keys")) if best else nodes.select("id", "sketch", "keys")
         # Only the sketches that are compared move.
         known = known.join(narrow(rows.select("id").distinct(), "mixed-ids"), "id", "left_semi")
         full = partners.unionByName(seekers).join(known, "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
         return full.mapInPandas(comparer(percent, best), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = narrow(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
-        texts = stored(rows.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        ends = narrow(nodes.select("id", "doc", "h").join(ends, "id", "left_semi"), "ends")
+        held = rows.select(F.col("id").alias("doc"), "h", "text").join(ends, ["doc", "h"])
+        texts = stored(held.groupBy("id").agg(F.max("text").alias("text")), "texts")
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return both.mapInPandas(verifier(width, percent), "a long, b long")
 
     members = nodes.select("id", "keys").mapInPandas(unpack, "key long, id long")
     labels = link(members, verify, refine)
-    named = signed.where("n_shingles > 0 and id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep"))
-    named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("label", "rep").alias("component"))
-    out = signed.drop("keys", "sketch").join(named, (F.col("n_shingles") == F.col("n")) & (signed.s1 == named.s1) & (signed.s2 == named.s2) & F.col("id").isNotNull(), "left")
+    classes = nodes.select("id", "doc").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    firsts = classes.groupBy("label").agg(F.min("doc").alias("component"))
+    named = classes.join(firsts, "label").select(F.col("id").alias("name"), "component")
+    linked = signed.select("id", "n_shingles", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), name).alias("name"))
+    out = linked.join(named, "name", "left")
     component = F.coalesce("component", "id")
     return out.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
