@@ -3,6 +3,7 @@
 import datetime
 import glob
 import os
+import random
 import shutil
 
 from pyspark.sql import functions as F
@@ -74,3 +75,31 @@ def test_hourly_bars(spark, tmp_path):
     got = {(r["symbol"], r["window"]["start"].hour): (r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in spark.table("hours_out").collect()}
     assert got[("a", 9)] == (3.0, 5.0, 1.0, 1.0, 3) and got[("b", 9)] == (7.0, 7.0, 7.0, 7.0, 1)
     assert got[("a", 12)] == (6.0, 6.0, 2.0, 2.0, 2) and got[("a", 16)][4] == 1
+
+
+def test_signals(spark, tmp_path):
+    """Over batches of uneven length, some shorter than the bars an extreme needs,
+    and across a restart, the signals of a batch run over the whole series."""
+    rng, rows = random.Random(4), []
+    for symbol, n in (("a", 400), ("b", 300), ("c", 5)):
+        close = 100.0
+        for i in range(n):
+            close = round(close + rng.choice([-1, 0, 1]) * rng.random() * 3, 2)
+            rows.append((symbol, datetime.datetime(2020, 1, 1) + datetime.timedelta(days=i), close))
+    bars = spark.createDataFrame(rows, SCHEMA).cache()
+    cuts = [0, 2, 3, 30, 150, 151, 400]
+    day = lambda k: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=k)
+    parts = [bars.where((F.col("date") >= F.lit(day(a))) & (F.col("date") < F.lit(day(b)))) for a, b in zip(cuts, cuts[1:], strict=False)]
+    source = files(parts, str(tmp_path))
+    late = [p for p in sorted(glob.glob(f"{source}/*.parquet")) if int(os.path.basename(p)[0]) > 3]
+    for p in late:
+        shutil.move(p, f"{tmp_path}/{os.path.basename(p)}")
+    for turn in range(2):
+        stream = refresh.streaming_signals(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source))
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/signals").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        if not turn:
+            for p in late:
+                shutil.move(f"{tmp_path}/{os.path.basename(p)}", p)
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/signals").select("symbol", "date", "close", "rsi", "signal").collect()))
+    want = sorted(map(tuple, indicators.divergence(indicators.rsi(bars)).where("signal <> 0").select("symbol", "date", "close", "rsi", "signal").collect()))
+    assert got == want and len(want) > 5 and {w[4] for w in want} == {1, -1}

@@ -1,5 +1,5 @@
 """Incremental refresh: a file stream whose micro-batches are added to a
-bar store, and an RSI that carries its state from batch to batch."""
+bar store, and RSI and divergences that carry their state from batch to batch."""
 
 from __future__ import annotations
 
@@ -32,25 +32,76 @@ def hourly_bars(ticks: DataFrame, delay: str = "2 hours") -> DataFrame:
     return ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", "1 hour")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count("*").alias("volume"))
 
 
+def wilder(state: tuple, close: float, period: int) -> tuple[float | None, tuple]:
+    """The RSI at a bar and the state (bars, last close, mean gain, mean loss) after it."""
+    n, last, up, down = state
+    if n:
+        gain, loss = max(close - last, 0.0), max(last - close, 0.0)
+        if n <= period:
+            up, down = up + gain / period, down + loss / period
+        else:
+            up, down = (up * (period - 1) + gain) / period, (down * (period - 1) + loss) / period
+    value = None if n < period else 100.0 if down == 0 else round(100 * up / (up + down), 2)
+    return value, (n + 1, float(close), up, down)
+
+
+START = (0, 0.0, 0.0, 0.0)
+
+
 def streaming_rsi(bars: DataFrame, period: int = 14) -> DataFrame:
     """(symbol, date, close, rsi) of a stream of bars in date order."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, last, up, down = state.get if state.exists else (0, 0.0, 0.0, 0.0)
+        now = state.get if state.exists else START
         rows = pd.concat(list(batches)).sort_values("date")
         out = []
         for close in rows["close"]:
-            if n:
-                gain, loss = max(close - last, 0.0), max(last - close, 0.0)
-                if n <= period:
-                    up, down = up + gain / period, down + loss / period
-                else:
-                    up, down = (up * (period - 1) + gain) / period, (down * (period - 1) + loss) / period
-            out.append(None if n < period else 100.0 if down == 0 else round(100 * up / (up + down), 2))
-            n, last = n + 1, float(close)
-        state.update((n, last, up, down))
+            value, now = wilder(now, close, period)
+            out.append(value)
+        state.update(now)
         yield pd.DataFrame({"symbol": key[0], "date": rows["date"], "close": rows["close"], "rsi": pd.Series(out, index=rows.index, dtype=float)})
 
     kind = dict(bars.dtypes)["date"]
     return bars.groupBy("symbol").applyInPandasWithState(run, f"symbol string, date {kind}, close double, rsi double", "n long, last double, up double, down double", "append", GroupStateTimeout.NoTimeout)
+
+
+def streaming_signals(bars: DataFrame, period: int = 14, lookback: int = 20, width: int = 3) -> DataFrame:
+    """(symbol, date, close, rsi, signal) of a stream of bars in date order: the
+    divergences of ``indicators.divergence``, each ``width`` bars late, when its
+    extreme is sure.  A symbol's state is its last 2 * width + 1 bars, the previous
+    extremes and the averages of the RSI, so it does not grow."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = dict(bars.dtypes)["date"]
+    span = 2 * width + 1
+    nan = float("nan")
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            *now, dates, closes, values, before = state.get
+            now, dates, closes, values, before = tuple(now), list(dates), list(closes), list(values), list(before)
+        else:
+            now, dates, closes, values, before = START, [], [], [], [nan] * 4  # the last trough's close and RSI, the last peak's
+        out = []
+        rows = pd.concat(list(batches)).sort_values("date")
+        for date, close in zip(rows["date"], rows["close"], strict=True):
+            value, now = wilder(now, close, period)
+            dates, closes, values = [*dates, date][-span:], [*closes, float(close)][-span:], [*values, nan if value is None else value][-span:]
+            if len(closes) < span:
+                continue
+            c, r, others = closes[width], values[width], closes[:width] + closes[width + 1 :]
+            ready = now[0] - 1 - width >= lookback
+            if c < min(others):
+                if ready and c < before[0] and r > before[1]:
+                    out.append((key[0], dates[width], c, r, 1))
+                before[:2] = c, r
+            elif c > max(others):
+                if ready and c > before[2] and r < before[3]:
+                    out.append((key[0], dates[width], c, r, -1))
+                before[2:] = c, r
+        state.update((*now, dates, closes, values, before))
+        yield pd.DataFrame(out, columns=["symbol", "date", "close", "rsi", "signal"])
+
+    held = f"n long, last double, up double, down double, dates array<{kind}>, closes array<double>, rsis array<double>, before array<double>"
+    return bars.groupBy("symbol").applyInPandasWithState(run, f"symbol string, date {kind}, close double, rsi double, signal int", held, "append", GroupStateTimeout.NoTimeout)
