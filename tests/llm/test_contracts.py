@@ -26,6 +26,7 @@ def write(spark, folder, texts):
     spark.createDataFrame([(1, "one two three")] if texts else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     html = [None, "", f"<html><body><article><p>{'Some plain words, and more of them. ' * 20}</p></article></body></html>"] if texts else []
     spark.createDataFrame([(i, f"https://e.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0], 0)] if texts else [], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
