@@ -14,6 +14,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_ID = -(2**63)
 #: Rows of a few dozen bytes that are broadcast at most; beyond, both sides of the join are shuffled.
 BROADCAST_ROWS = 250_000
+#: The same for rows of uneven size, by a sum of their sizes.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

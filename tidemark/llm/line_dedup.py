@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key, small_enough, stored, table
+from tidemark.llm.common import BROADCAST_BYTES, row_key, small_enough, stored, table
 from tidemark.llm.linking import link
 
 SHINGLE = 8
@@ -206,7 +206,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     losing = first.join(linked, "node", "left").where("n > 1 or keep is not null").select("node", F.coalesce("keep", "first").alias("keep"))
     lost = lines.join(losing, "node").where(F.struct("_k", "_h", "pos") != F.col("keep"))
     lost = stored(lost.groupBy("_k", "_h").agg(F.collect_set("pos").alias("lost")), "lines-lost")
-    lost = F.broadcast(lost) if small_enough(lost) else lost
+    # A row's size hangs on how many lines its document loses.
+    held = lost.agg(F.sum(40 + 8 * F.size("lost")).alias("bytes")).first()["bytes"] or 0
+    lost = F.broadcast(lost) if held <= BROADCAST_BYTES else lost
     # The columns of docs travel in one struct, so their names clash with none.
     keyed = docs.select(*row_key(docs, id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.col("row").getField(text_col)
