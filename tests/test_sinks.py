@@ -48,3 +48,37 @@ def test_cache(spark, tmp_path):
     for file in (tmp_path / "cache").rglob("*.parquet"):
         file.write_bytes(b"not a table")
     assert load("2024-01-05").count() == 3 and len(calls) == 3  # damaged
+
+
+PATTERN = "symbol string, period int, pattern string, direction string, date string, close double, similarity double, status string, match_symbol string, match_date string, match_move double"
+
+
+def test_one_csv(spark, tmp_path):
+    """The twelve columns in one file, byte for byte, from many tasks; again over the
+    old file; a job that fails leaves the old file; no rows leave the header."""
+    rows = [(f"s{k:04}", 30, 'level, "straight"' if k % 7 == 0 else None, "up", "2024-01-03", 10.0, float(k % 50), "pending", "b", "2020-01-02", k / 8) for k in range(4000)]
+    scan = spark.createDataFrame(rows, PATTERN).repartition(8)
+    out = sinks.pattern_rows(scan)
+    path = tmp_path / "p.csv"
+    order = [F.desc(F.regexp_replace(sinks.PATTERN_COLUMNS[7], "%", "").cast("double")), F.col(sinks.PATTERN_COLUMNS[0])]
+    path.write_text("old")
+    sinks.write_one_csv(out, f"file://{path}", order, bom=True)
+    quoted = lambda k: '"level, \\"straight\\""' if k % 7 == 0 else ""
+    lines = [f"s{k:04},s{k:04},30日,{quoted(k)},大漲,2024-01-03,10.0,{float(k % 50):.2f}%,pending,b,2020-01-02,{sinks_move(k)}%" for k in sorted(range(4000), key=lambda k: (-(k % 50), k))]
+    assert path.read_bytes() == ("﻿" + "\n".join([",".join(sinks.PATTERN_COLUMNS), *lines]) + "\n").encode()
+    assert out.orderBy(*order).rdd.getNumPartitions() > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    try:
+        sinks.write_one_csv(out.withColumn(sinks.PATTERN_COLUMNS[1], F.raise_error(F.lit("stop")).cast("string")), f"file://{path}", order)
+        raise AssertionError("no error")
+    except Exception as error:
+        assert "stop" in str(error)
+    assert len(path.read_bytes().splitlines()) == 4001
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["p.csv"]
+    sinks.write_one_csv(out.where("false"), f"file://{path}", order)
+    assert path.read_text() == ",".join(sinks.PATTERN_COLUMNS) + "\n"
+
+
+def sinks_move(k):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    return Decimal(k / 8).quantize(Decimal("0.01"), ROUND_HALF_UP)

@@ -103,3 +103,48 @@ def test_signals(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/signals").select("symbol", "date", "close", "rsi", "signal").collect()))
     want = sorted(map(tuple, indicators.divergence(indicators.rsi(bars)).where("signal <> 0").select("symbol", "date", "close", "rsi", "signal").collect()))
     assert got == want and len(want) > 5 and {w[4] for w in want} == {1, -1}
+
+
+def test_revised(spark, tmp_path):
+    """Bars that come again or late, over batches and a restart: the last row of each
+    date is that of a batch run over the final bars."""
+    rng = random.Random(9)
+    day = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k)
+    feed, final = [], {}
+    for known in (20, 40, 60, 80):
+        batch = {(s, k): float(rng.randint(80, 120)) for s in "ab" for k in range(known - 20, known)}
+        batch |= {(s, rng.randrange(max(0, known - 45), known)): float(rng.randint(80, 120)) for s in "ab" for _ in range(4)}
+        if known == 40:
+            del batch["a", 25]  # comes with the next batch, between known dates
+        if known == 60:
+            batch["a", 25] = 111.0
+        final |= batch
+        feed.append(spark.createDataFrame([(s, day(k), c) for (s, k), c in batch.items()], SCHEMA))
+    source = files(feed, str(tmp_path))
+    store = BarStore(spark, f"{tmp_path}/store")
+    late = sorted(glob.glob(f"{source}/*.parquet"))[2:]
+    for p in late:
+        shutil.move(p, f"{tmp_path}/{os.path.basename(p)}")
+    for turn in range(2):
+        stream = refresh.streaming_rsi_revised(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source), keep=60)
+        stream.writeStream.outputMode("update").foreachBatch(lambda rows, k: store.write(rows, "rsi", k) and None).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        if not turn:
+            for p in late:
+                shutil.move(f"{tmp_path}/{os.path.basename(p)}", p)
+    assert store.read().where("late").count() == 0
+    got = {(r["symbol"], r["date"]): (r["close"], r["rsi"]) for r in store.read().collect()}
+    bars = spark.createDataFrame([(s, day(k), c) for (s, k), c in final.items()], SCHEMA)
+    want = {(r["symbol"], r["date"]): (r["close"], r["rsi"]) for r in indicators.rsi(bars).collect()}
+    assert got == want and len(want) == 160
+
+
+def test_revised_too_late(spark, tmp_path):
+    """A bar older than what is held comes out as late; equal bars give nothing."""
+    bars = bars_of(spark)
+    old = bars.where("date = '2024-01-03'").withColumn("close", F.lit(1.0))
+    source = files([bars, bars.where("date > '2024-02-01'"), old], str(tmp_path))
+    seen = []
+    stream = refresh.streaming_rsi_revised(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source), keep=20)
+    stream.writeStream.outputMode("update").foreachBatch(lambda rows, k: seen.append([tuple(r) for r in rows.collect()])).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen[0]) == 40 and not any(r[4] for r in seen[0])
+    assert seen[1:] == [[], [("a", datetime.datetime(2024, 1, 3), 1.0, None, True)]]

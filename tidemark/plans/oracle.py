@@ -20,6 +20,10 @@ wt AS (SELECT *, CASE WHEN i <= 14 THEN 1.0::DOUBLE / 14 ELSE 1.0::DOUBLE / 14 *
 gl AS (SELECT *, sum(w * greatest(coalesce(d, 0), 0)) OVER r AS g, sum(w * greatest(-coalesce(d, 0), 0)) OVER r AS l FROM wt WINDOW r AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
 rsi AS (SELECT symbol, date, open, high, low, close, volume, i, n, CASE WHEN i >= 14 THEN CASE WHEN l = 0 THEN 100.0 ELSE round(100 * g / (g + l), 2) END END AS rsi FROM gl)"""
 
+TOP1_ALL = """WITH p AS (SELECT q.vec_id AS vec_id, e.vec_id AS match_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS similarity
+ FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT vec_id, match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, match_id) AS r FROM p) WHERE r = 1"""
+
 
 def extremes(width: int) -> str:
     return f"""ext AS (SELECT *, i BETWEEN {width} AND n - {width + 1} AND close > max(close) OVER b AND close > max(close) OVER a AS is_peak,
@@ -116,6 +120,7 @@ SELECT symbol, date, flow, round(sum(flow) OVER (w ROWS BETWEEN 4 PRECEDING AND
  round(close - lag(close, 5) OVER w, 2) AS change_5, round(avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS ma_20 FROM j WINDOW w AS (PARTITION BY symbol ORDER BY date)""",
         "upsert_latest": f"WITH {ORDER_BARS} SELECT symbol, date, CASE WHEN date >= DATE '1998-06-01' THEN round(close + 1, 2) ELSE close END AS close FROM bars",
         "json_unnest": f"WITH {ORDER_BARS} SELECT symbol, date, open, high, low, close FROM bars WHERE dayofyear(date) % 7 <> 0",
+        "chart_read": f"WITH {ORDER_BARS} SELECT symbol, date, open, high, low, close FROM bars WHERE dayofyear(date) % 7 <> 0 AND date >= DATE '1993-03-01' AND date < DATE '1998-03-01'",
         "gap_drop": f"WITH {ORDER_BARS} SELECT symbol, date, open, close FROM bars WHERE day(date) <> 13",
         "freshness": f"WITH {ORDER_BARS} SELECT symbol, max(date) AS last_date, DATE '2001-08-02' - max(date) <= 1 AS is_fresh FROM bars GROUP BY 1",
         "wave_runs": f"WITH {RUNS} SELECT symbol, seq, type, start_date, end_date, start_val, end_val, pct, round(point_change, 2) AS point_change, days, total_vol, round(vpp, 4) AS vpp FROM waves",
@@ -149,6 +154,7 @@ SELECT b.symbol, b.date, b.close, CASE WHEN b.date - f.date <= 5 THEN n_trades E
         "wave_flow": f"""WITH {RUNS}, {FLOW}, f AS (SELECT w.symbol, w.type, w.seq, sum(coalesce(flow, 0.0)) AS flow FROM waves w JOIN index x ON x.symbol = w.symbol AND x.date > w.start_date AND x.date <= w.end_date LEFT JOIN flow ON flow.date = x.date GROUP BY ALL)
 SELECT symbol, type, count(*) AS n_waves, round(avg(flow), 2) AS mean_flow FROM f GROUP BY 1, 2""",
         "wave_segments": f"WITH {RUNS} SELECT symbol, type, start_date, end_date, start_val, end_val, pct, round(point_change, 2) AS point_change, days, total_vol, vpp FROM waves",
+        "segments_csv": f"WITH {RUNS} SELECT symbol, type, start_date, end_date, start_val, end_val, pct, round(point_change, 2) AS point_change, days, total_vol, vpp FROM waves",
         "wave_report": f"""WITH {RUNS}, s AS (SELECT symbol, type, count(*) AS n, round(avg(abs(pct)), 2) AS m, round(median(abs(pct)), 2) AS d, round(avg(days), 1) AS t FROM waves GROUP BY 1, 2)
 SELECT symbol, 1 AS section, printf('open wave: %-5s since %s (%.2f), now %.2f, %.2f%%, %d days', type, start_date::VARCHAR, start_val, end_val, pct, days) AS value FROM waves WHERE is_open
 UNION ALL SELECT symbol, 2, printf('%-5s waves: %5d, mean %6.2f%% (median %6.2f%%), %5.1f days', type, n, m, d, t) FROM s""",
@@ -159,7 +165,6 @@ SELECT symbol, date, round((f - m) / sd, 4) AS first, round((close - m) / sd, 4)
         "embedding_top1": """WITH p AS (SELECT q.vec_id AS vec_id, e.vec_id AS match_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS similarity
  FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
 SELECT vec_id, match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, match_id) AS r FROM p) WHERE r = 1""",
-        "embedding_top1_all": """WITH p AS (SELECT q.vec_id AS vec_id, e.vec_id AS match_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS similarity
- FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
-SELECT vec_id, match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, match_id) AS r FROM p) WHERE r = 1""",
+        "embedding_top1_all": TOP1_ALL,
+        "embedding_top1_pruned": TOP1_ALL,
     }

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import blocks
 from tidemark.functions import indicators as ind
-from tidemark.operators import patterns, stats, waves
+from tidemark.operators import patterns, pivots, stats, waves
 from tidemark.operators import zigzag as zz
 from tidemark.operators.asof import asof_join
 from tidemark.sources import bars as src
-from tidemark.sources import sinks
+from tidemark.sources import chart, sinks
 from tidemark.sources.store import BarStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,14 +101,28 @@ def walk_waves(spark: SparkSession, sf_dir: str, pct: float = 5.0, range_days: i
 def json_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars packed into parallel-array payloads (every seventh low is a gap) and
     taken apart again."""
+    text = payload_texts(spark, sf_dir)
+    return src.unnest_payload(text.select("symbol", F.from_json("json", src.PAYLOAD).alias("payload")))
+
+
+def chart_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same payloads kept in an archive and asked for through the chart source,
+    for the days of five years."""
+    texts = payload_texts(spark, sf_dir)
+    symbols = [r["symbol"] for r in texts.select("symbol").distinct().orderBy("symbol").collect()]  # five
+    kept = chart.archive(texts, f"{blocks.shared_dir(spark)}/payloads-{uuid.uuid4().hex}")
+    return chart.read_chart(spark, symbols, kept, first="1990-01-01").where("date >= date'1993-03-01' and date < date'1998-03-01'")
+
+
+def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, json) of each symbol and year."""
     bars = src.order_bars(spark, sf_dir).withColumn("low", F.when(F.dayofyear("date") % 7 != 0, F.col("low")))
     fields = F.array_sort(F.collect_list(F.struct(F.unix_timestamp(F.col("date").cast("timestamp")).alias("timestamp"), *src.OHLC)))
     packed = bars.groupBy("symbol", F.year("date").alias("y")).agg(fields.alias("r"))
     quote = F.struct(*[F.col(f"r.{c}").alias(c) for c in src.OHLC])
     result = F.struct(F.col("r.timestamp").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
     payload = F.struct(F.struct(F.array(result).alias("result")).alias("chart"))
-    text = packed.select("symbol", F.to_json(payload).alias("json"))
-    return src.unnest_payload(text.select("symbol", F.from_json("json", src.PAYLOAD).alias("payload")))
+    return packed.select("symbol", F.to_json(payload).alias("json"))
 
 
 def gap_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +166,14 @@ def resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.resonance(found.where("period = 30"), found.where("period = 45"))
 
 
+def segments_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wave segments written to one ordered CSV file with a byte order mark, and read back."""
+    rows = sinks.segments(runs(spark, sf_dir))
+    path = f"{blocks.shared_dir(spark)}/segments-{uuid.uuid4().hex}.csv"
+    sinks.write_one_csv(rows, path, [F.col("symbol"), F.col("start_date"), F.col("end_date")], bom=True)
+    return spark.read.schema(rows.schema).csv(path, header=True)
+
+
 def window_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = patterns.window_vectors(src.order_bars(spark, sf_dir), 30)
     return shapes.select("symbol", "date", F.round(F.element_at("vec", 1), 4).alias("first"), F.round(F.element_at("vec", -1), 4).alias("last"))
@@ -181,6 +203,7 @@ def queries() -> dict[str, Query]:
         "factor_join": factor_join,
         "upsert_latest": upsert_latest,
         "json_unnest": json_unnest,
+        "chart_read": chart_read,
         "gap_drop": gap_drop,
         "freshness": freshness,
         "wave_runs": wave_runs,
@@ -195,6 +218,7 @@ def queries() -> dict[str, Query]:
         "open_leg": lambda s, d: waves.open_wave(legs(s, d), src.order_index(s, d)),
         "wave_flow": lambda s, d: waves.wave_flow(runs(s, d), daily_flow(s, d, src.order_index(s, d))),
         "wave_segments": lambda s, d: sinks.segments(runs(s, d)),
+        "segments_csv": segments_csv,
         "wave_report": lambda s, d: sinks.wave_report(runs(s, d)),
         "walk_index": lambda s, d: src.order_walk(s, d),
         "walk_waves": walk_waves,
@@ -212,6 +236,7 @@ def queries() -> dict[str, Query]:
         "window_shape": window_shape,
         "embedding_top1": lambda s, d: patterns.top_cosine(s.read.parquet(f"{d}/embeddings.parquet")),
         "embedding_top1_all": lambda s, d: patterns.nearest(s.read.parquet(f"{d}/embeddings.parquet")),
+        "embedding_top1_pruned": lambda s, d: pivots.nearest(s.read.parquet(f"{d}/embeddings.parquet")).select("vec_id", "match_id", "similarity"),
         "pattern_scan": lambda s, d: scans(s, d).select("period", "symbol", "date", "direction", "pattern", "similarity", "match_symbol", "match_date", "match_move", "status").orderBy("period", F.desc("similarity"), "symbol"),
         "pattern_status": lambda s, d: patterns.status_counts(scans(s, d)),
         "pattern_top": lambda s, d: patterns.top_per_list(scans(s, d)).select("period", "direction", "rank", "symbol", "similarity"),

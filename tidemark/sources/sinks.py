@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +40,58 @@ DIRECTIONS = {"up": "大漲", "down": "大跌"}
 
 
 def write_csv(df: DataFrame, path: str, order: list[Column], bom: bool = False) -> None:
-    """CSV with a header in the given order; ``bom`` puts a byte order mark
-    before it, which spreadsheets read UTF-8 by."""
+    """A folder of CSV parts in the given order, each with a header and, with
+    ``bom``, a byte order mark.  ``write_one_csv`` makes a single file."""
     rows = df.orderBy(*order)
     if bom:
         rows = rows.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_one_csv(df: DataFrame, path: str, order: list[Column], bom: bool = False) -> None:
+    """One CSV file at ``path``: one header, then all rows in the given order (rows
+    that it does not tell apart come in any order); ``bom`` puts a byte order mark
+    before it, which spreadsheets read UTF-8 by.
+
+    Ranges of the order are sorted and written by as many tasks as there are; then
+    their files are put one after the other, a small buffer at a time, into a draft
+    that is renamed to ``path``, whatever stood there.  A job that dies before that
+    leaves the old file as it was.  Without rows the file is the header alone."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    hadoop = jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(conf)
+    target = target.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+    work = hadoop.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    head = io.StringIO()
+    csv.writer(head, lineterminator="\n").writerow(df.columns)
+    try:
+        df.orderBy(*order).write.option("header", False).csv(hadoop.Path(work, "parts").toString())
+        places = {}
+        for found in fs.listStatus(hadoop.Path(work, "parts")):
+            place = re.match(r"part-(\d+)-.*-c(\d+)", found.getPath().getName())
+            if place:
+                places[int(place[1]), int(place[2])] = found.getPath()
+        draft = hadoop.Path(work, "draft")
+        out = fs.create(draft)
+        try:
+            out.write(bytearray(("\ufeff" * bom + head.getvalue()).encode()))
+            for _, part in sorted(places.items()):
+                source = fs.open(part)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+        over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, over)
+    finally:
+        fs.delete(work, True)
+
+
 def segments(waves: DataFrame) -> DataFrame:
     """The columns of the segments file, after the symbol."""
     return waves.select("symbol", "type", "start_date", "end_date", "start_val", "end_val", "pct", F.round("point_change", 2).alias("point_change"), "days", "total_vol", "vpp")

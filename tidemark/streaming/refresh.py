@@ -66,6 +66,50 @@ def streaming_rsi(bars: DataFrame, period: int = 14) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(run, f"symbol string, date {kind}, close double, rsi double", "n long, last double, up double, down double", "append", GroupStateTimeout.NoTimeout)
 
 
+def streaming_rsi_revised(bars: DataFrame, period: int = 14, keep: int = 256) -> DataFrame:
+    """(symbol, date, close, rsi, late) of a stream whose bars may come again or out of
+    order: a bar for a known date replaces the one that was there, and the RSI of every
+    later date follows.  Of several bars of a date in one batch the one with the largest
+    close stays, as no order is known.  A batch gives the rows that are new or have
+    changed, so the last row of each date is that of a batch run over the final bars.
+
+    A symbol's state is its last ``keep`` bars and a snapshot of the averages before
+    them, so it does not grow; a batch is replayed from the snapshot.  A bar older than
+    the snapshot changes values that are no longer held: it comes out with ``late`` and
+    no RSI, and the symbol's later values wait for a batch run over the stored bars.
+    ``keep`` bounds what a revision may reach back, not the rows of a batch."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = dict(bars.dtypes)["date"]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        *base, dates, closes, values = state.get if state.exists else (*START, [], [], [])
+        base, held = tuple(base), dict(zip(dates, zip(closes, values, strict=True), strict=True))
+        first = min(held, default=None)
+        new: dict = {}
+        for batch in batches:
+            for date, close in zip(batch["date"], batch["close"], strict=True):
+                new[date] = max(float(close), new.get(date, float("-inf")))
+        late = {d: c for d, c in new.items() if base[0] and first is not None and d < first}
+        merged = {d: c for d, (c, _) in held.items()} | {d: c for d, c in new.items() if d not in late}
+        out = [(key[0], d, c, None, True) for d, c in sorted(late.items())]
+        now, rows = base, []
+        for date in sorted(merged):
+            before = now
+            value, now = wilder(now, merged[date], period)
+            value = float("nan") if value is None else value
+            rows.append((before, date, merged[date], value))
+            known = held.get(date)
+            if known is None or known[0] != merged[date] or not (known[1] == value or (known[1] != known[1] and value != value)):
+                out.append((key[0], date, merged[date], None if value != value else value, False))
+        rows = rows[-keep:]
+        state.update((*rows[0][0], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]) if rows else (*base, [], [], []))
+        yield pd.DataFrame(out, columns=["symbol", "date", "close", "rsi", "late"]).astype({"rsi": float, "late": bool})
+
+    held = f"n long, last double, up double, down double, dates array<{kind}>, closes array<double>, rsis array<double>"
+    return bars.groupBy("symbol").applyInPandasWithState(run, f"symbol string, date {kind}, close double, rsi double, late boolean", held, "update", GroupStateTimeout.NoTimeout)
+
+
 def streaming_signals(bars: DataFrame, period: int = 14, lookback: int = 20, width: int = 3) -> DataFrame:
     """(symbol, date, close, rsi, signal) of a stream of bars in date order: the
     divergences of ``indicators.divergence``, each ``width`` bars late, when its
