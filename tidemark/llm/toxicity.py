@@ -248,7 +248,8 @@ def induce(train: DataFrame, n1: int, n0: int) -> tuple[list[str], list[str]]:
     toxic = train.where("toxic = 1")
     sample = toxic.orderBy(F.xxhash64("text")).limit(FIT_ROWS).select("text").mapInPandas(held, "terms array<string>").toPandas()
     picked = cover([set(t) for t in sample["terms"]], support, SUPPORT)
-    if n1 > len(sample) and len(picked) < len(support):
+    # Where the sample was all rows nothing is left that passes; the same steps run at every size.
+    if len(picked) < len(support):
         chosen = set(picked)
 
         def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
