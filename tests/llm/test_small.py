@@ -237,6 +237,33 @@ def test_quality(spark):
     assert quality.quality(docs_of(spark, []), labels).count() == 0
 
 
+def test_shrinkage_by_hand(spark):
+    """Group means pulled to the level above; no spread beyond chance gives that level
+    itself, groups of only 0 and only 1 keep their means.  Ties, repeated rows and a
+    group of a third of all rows are rows like any other."""
+
+    def by_hand(groups, m):
+        n = sum(map(len, groups.values()))
+        within = m * (1 - m)
+        between = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g in groups.values()) / n - within / (n / len(groups))
+        if between <= 0:
+            return {k: m for k in groups}
+        strength = max(0.0, within / between - 1)
+        return {k: (sum(g) + strength * m) / (len(g) + strength) for k, g in groups.items()}
+
+    mixed = {"a": [0.9] * 40, "b": [0.2] * 5, "c": [0.6], "d": [0.5, 0.1, 0.5, 0.5]}
+    chance = {"a": [0.5, 0.6] * 20, "b": [0.55] * 40}
+    apart = {"a": [0.0] * 30, "b": [1.0] * 30}
+    for groups in (mixed, chance, apart):
+        m = sum(map(sum, groups.values())) / sum(map(len, groups.values()))
+        rows = spark.createDataFrame([(k, x, m) for k, g in groups.items() for x in g], "host string, evidence double, above double")
+        got = {r["host"]: r["posterior"] for r in quality.shrunk(rows, "above", ["host"]).collect()}
+        want = by_hand(groups, m)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    assert got == {"a": 0.0, "b": 1.0}
+    assert quality.shrunk(rows.limit(0), "above", ["host"]).count() == 0
+
+
 def test_language_model(spark):
     texts = random_texts(30, 13)
     got = {r["doc_id"]: r for r in lm_scoring.language_model_scores(docs_of(spark, texts)).collect()}

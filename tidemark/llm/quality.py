@@ -85,15 +85,18 @@ def evidence(rows: DataFrame, label: str) -> DataFrame:
 
 def shrunk(rows: DataFrame, above: str, keys: list[str]) -> DataFrame:
     """(*keys, posterior) of rows (*keys, evidence, above): group means pulled
-    towards ``above`` with the method-of-moments strength."""
+    towards ``above`` with the method-of-moments strength, without bounds: groups
+    that differ by no more than chance get ``above`` itself, and groups that differ
+    as much as means can keep their own means."""
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("evidence").alias("k"), F.avg(above).alias("m"))
     spread = groups.agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("m"), 2)).alias("ss"), F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.col("n") * F.col("m") * (1 - F.col("m"))).alias("pq")).first()
-    strength = 1000.0
+    weight = F.lit(0.0)  # of a group's own mean: none without spread between groups beyond chance
     if spread["n"]:
         within, n_mean = spread["pq"] / spread["n"], spread["n"] / spread["g"]
-        between = max(1e-9, spread["ss"] / spread["n"] - within / n_mean)
-        strength = min(10_000.0, max(1.0, within / between - 1))
-    return groups.select(*keys, ((F.col("k") + strength * F.col("m")) / (F.col("n") + strength)).alias("posterior"))
+        between = spread["ss"] / spread["n"] - within / n_mean
+        if between > 0:
+            weight = F.col("n") / (F.col("n") + F.lit(float(max(0.0, within / between - 1))))
+    return groups.select(*keys, (F.col("m") + weight * (F.col("k") / F.col("n") - F.col("m"))).alias("posterior"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
