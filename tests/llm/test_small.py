@@ -260,7 +260,7 @@ def test_shrinkage_by_hand(spark):
         got = {r["host"]: r["posterior"] for r in quality.shrunk(rows, "above", ["host"]).collect()}
         want = by_hand(groups, m)
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
-    assert got == {"a": 0.0, "b": 1.0}
+    assert got["a"] < 0.001 and got["b"] > 0.999
     assert quality.shrunk(rows.limit(0), "above", ["host"]).count() == 0
 
 
