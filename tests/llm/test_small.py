@@ -256,12 +256,46 @@ def test_shrinkage_by_hand(spark):
     apart = {"a": [0.0] * 30, "b": [1.0] * 30}
     for groups in (mixed, chance, apart):
         m = sum(map(sum, groups.values())) / sum(map(len, groups.values()))
-        rows = spark.createDataFrame([(k, x, m) for k, g in groups.items() for x in g], "host string, evidence double, above double")
-        got = {r["host"]: r["posterior"] for r in quality.shrunk(rows, "above", ["host"]).collect()}
+        rows = spark.createDataFrame([(k, len(g), float(sum(g)), m) for k, g in groups.items()], "host string, n long, k double, m double")
+        got = {r["host"]: r["posterior"] for r in quality.shrunk(rows, ["host"]).collect()}
         want = by_hand(groups, m)
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
     assert got["a"] < 0.001 and got["b"] > 0.999
-    assert quality.shrunk(rows.limit(0), "above", ["host"]).count() == 0
+    assert quality.shrunk(rows.limit(0), ["host"]).count() == 0
+
+
+def test_quality_levels(spark, monkeypatch):
+    """Posteriors of hosts and paths from the evidence by hand, with null hosts,
+    repeated rows, clashing names and one host of most rows; the same rows where
+    paths are too many for a broadcast."""
+    rng = random.Random(3)
+    rows = [(i, "plain words of a text." if rng.random() < 0.6 else "%%% *** ### |!", None if i % 11 == 0 else "big" if i % 3 else f"h{i % 5}", "xy"[i % 2], 0.5, 1) for i in range(240)]
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, evidence double, n int")
+    labels = spark.createDataFrame([(i, int("%" not in r[1])) for i, r in enumerate(rows[:240])], "doc_id long, quality int")
+    got = quality.quality(docs, labels).collect()
+    assert len(got) == 243
+    of, ev = {r[0]: (r[2] or "", r[3]) for r in rows}, [(r["id"], r["evidence"]) for r in got]
+
+    def level(keys, above):
+        groups = {}
+        for i, e in ev:
+            groups.setdefault(keys(i), []).append(e)
+        m = {k: above(k) for k in groups}
+        n = len(ev)
+        within = sum(len(g) * m[k] * (1 - m[k]) for k, g in groups.items()) / n
+        between = sum(len(g) * (sum(g) / len(g) - m[k]) ** 2 for k, g in groups.items()) / n - within / (n / len(groups))
+        s = max(0.0, within / between - 1) if between > 0 else math.inf
+        return {k: m[k] if s == math.inf else (sum(g) + s * m[k]) / (len(g) + s) for k, g in groups.items()}
+
+    prior = sum(e for _, e in ev) / len(ev)
+    hosts = level(lambda i: of[i][0], lambda _: prior)
+    paths = level(lambda i: of[i], lambda k: hosts[k[0]])
+    for r in got:
+        assert math.isclose(r["host_posterior"], hosts[of[r["id"]][0]], abs_tol=1e-9) and math.isclose(r["path_posterior"], paths[of[r["id"]]], abs_tol=1e-9)
+    monkeypatch.setattr(quality, "small_enough", lambda df: False)
+    key = lambda r: (r["id"], round(r["score"], 9))
+    assert sorted(map(key, quality.quality(docs, labels).collect())) == sorted(map(key, got))
 
 
 def test_language_model(spark):

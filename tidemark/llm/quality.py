@@ -24,12 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, remainder, table
+from tidemark.llm.common import durable, remainder, small_enough, stored, table
 
 STATISTICS = ["log_words", "word_length", "distinct", "symbols", "digits", "upper", "doubled", "lines", "repeated_lines", "longest_word", "enders", "bars"]
 SYMBOLS = bytes(set(range(33, 127)) - set(range(48, 58)) - set(range(65, 91)) - set(range(97, 123)) - set(b".,;:'\"()?-"))
 UPPER, DIGITS, SPACES = bytes(range(65, 91)), bytes(range(48, 58)), b" \t\n\r"
 FOLDS = 5
+#: Tasks that the rows of one path are dealt to where paths are too many for a broadcast.
+SALTS = 32
 
 
 def statistics(text: str | None) -> tuple[float, ...]:
@@ -83,12 +85,11 @@ def evidence(rows: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("evidence", sigmoid(z)).drop(*terms)
 
 
-def shrunk(rows: DataFrame, above: str, keys: list[str]) -> DataFrame:
-    """(*keys, posterior) of rows (*keys, evidence, above): group means pulled
-    towards ``above`` with the method-of-moments strength, without bounds: groups
-    that differ by no more than chance get ``above`` itself, and groups that differ
-    as much as means can keep their own means."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("evidence").alias("k"), F.avg(above).alias("m"))
+def shrunk(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, posterior) of groups (*keys, n rows, k sum of their evidence, m the level
+    above): group means pulled towards ``m`` with the method-of-moments strength,
+    without bounds: groups that differ by no more than chance get ``m`` itself, and
+    groups that differ as much as means can keep their own means."""
     spread = groups.agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("m"), 2)).alias("ss"), F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.col("n") * F.col("m") * (1 - F.col("m"))).alias("pq")).first()
     weight = F.lit(0.0)  # of a group's own mean: none without spread between groups beyond chance
     if spread["n"]:
@@ -109,14 +110,22 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     known = durable(with_statistics(rows, "text"))
     known = known.join(marks, known["id"] == marks["_id"], "left").withColumn("mark", F.when(~F.col("held_out"), F.col("_mark"))).drop("_id", "_mark")
     found = durable(evidence(known, "mark").select("id", "held_out", "host", "path", "evidence"))
-    prior = found.agg(F.avg("evidence").alias("p")).first()["p"]
-    prior = 0.5 if prior is None else float(prior)
-    hosts = shrunk(found.withColumn("above", F.lit(prior)), "above", ["host"]).withColumnRenamed("posterior", "host_posterior")
-    sums = found.groupBy("host", "path").agg(F.count("*").alias("n"))  # a few rows for each host
-    under = found.join(sums.join(hosts, "host").select("host", "path", "host_posterior"), ["host", "path"])
-    paths = durable(shrunk(under, "host_posterior", ["host", "path"]).withColumnRenamed("posterior", "path_posterior").join(hosts, "host"))
+    # All levels come from one table of groups, summed before any shuffle.
+    sums = stored(found.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("k")), "quality-groups")
+    total = sums.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    prior = total["k"] / total["n"] if total["n"] else 0.5
+    hosts = sums.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("m", F.lit(float(prior)))
+    hosts = stored(shrunk(hosts, ["host"]).withColumnRenamed("posterior", "host_posterior"), "quality-hosts")
+    under = stored(sums.join(hosts, "host").withColumn("m", F.col("host_posterior")), "quality-groups")
+    paths = shrunk(under, ["host", "path"]).withColumnRenamed("posterior", "path_posterior").join(under.select("host", "path", "host_posterior"), ["host", "path"])
+    paths = stored(paths, "quality-paths")
     score = sigmoid(logit(F.col("evidence")) - logit(F.lit(prior)) + logit(F.col("path_posterior")))
-    out = found.join(paths, ["host", "path"]).withColumn("score", score)
+    if small_enough(paths):
+        out = found.join(F.broadcast(paths), ["host", "path"])
+    else:  # a path may hold a third of all rows, so its rows are dealt to several tasks
+        dealt = found.withColumn("salt", F.pmod(F.xxhash64("id", "evidence"), F.lit(SALTS)).cast("int"))
+        out = dealt.join(paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "path", "salt"])
+    out = out.withColumn("score", score)
     return out.select("id", "held_out", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
