@@ -144,6 +144,25 @@ def test_line_dedup_recall(spark):
     assert set(missed) <= {60} and len(missed) <= 0.0005 * 4000
 
 
+def test_line_dedup_parity_sketch(spark):
+    """No pair that is alike is ruled out, also of long lines with repeats; most others are."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 6)))
+    lines = ["", "ab", "aaaaaaaaaaaaaaaaaaaa"]
+    for size in (3, 10, 40, 120, 600):
+        base = [word() for _ in range(size)]
+        for share in (0, 0.01, 0.02, 0.03, 0.05, 0.1, 0.3):
+            lines += [" ".join(word() if rng.random() < share else w for w in base), " ".join(base[: int(size * (1 - share))] * 2)]
+    sets = line_sets(lines)
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, norm string")
+    met = linking.both_ends(spark.createDataFrame(pairs, "a long, b long"), line_dedup.parity(texts, 8))
+    left = {(r["a"], r["b"]) for r in met.where(line_dedup.possible(F.col("fa"), F.col("fb"))).collect()}
+    alike = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    far = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) < 60 * len(sets[a] | sets[b]) and max(a, b) < len(lines) - 14}
+    assert len(alike) > 20 and alike <= left and not far & left
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     vocabulary = ["alpha", "beta", "gamma", "É", "don"]

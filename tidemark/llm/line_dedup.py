@@ -21,8 +21,11 @@ text, and more in more.)
 Positions are exploded and filtered in generated code, and only the hashes
 left are grouped by line.  Members of a bucket meet by ``linking``; a pair whose
 signatures agree in less than ``PLAUSIBLE`` of their common range (four standard
-deviations under J = 0.8) is no candidate.  Candidates are confirmed by the exact
-Jaccard similarity of their full shingle sets (as 64-bit hashes), components come from
+deviations under J = 0.8) is no candidate.  The lines that are left get a parity
+sketch: every distinct shingle flips one of 64 * ``WORDS`` bits, so two sketches
+differ in no more bits than the sets differ in shingles, and a pair with too many
+can be no link.  The others are confirmed by the exact Jaccard similarity of their
+full shingle sets (as 64-bit hashes), components come from
 ``linking``, and of each component the line that comes first (smallest doc_id,
 then position) stays.
 
@@ -50,6 +53,8 @@ SKETCH = 22
 KEEP = 30
 PERCENT = 80
 PLAUSIBLE = 0.45
+#: 64-bit words of a parity sketch, a power of two.
+WORDS = 16
 
 
 def normal(line: Column) -> Column:
@@ -148,6 +153,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, keep: in
     return hashed.groupBy("node", "n").agg(F.sort_array(F.collect_set("h")).alias("hashes"))
 
 
+def parity(lines: DataFrame, width: int) -> DataFrame:
+    """(id, feature) of distinct lines (id, norm): feature has the number n of
+    their distinct shingles and the words w0, w1, ... of their parity sketch."""
+    each = lines.select("id", shingles(F.col("norm"), width).alias("s")).select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    # The lowest bits name the word, six higher ones the bit that is flipped.
+    word, bit = F.col("h").bitwiseAND(WORDS - 1), F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 as int))")
+    flipped = each.select("id", "n", word.alias("word"), bit.alias("bit"))
+    sketched = flipped.groupBy("id", "n").agg(*[F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0))).alias(f"w{i}") for i in range(WORDS)])
+    return sketched.select("id", F.struct("n", *[f"w{i}" for i in range(WORDS)]).alias("feature"))
+
+
+def possible(x: Column, y: Column, percent: int = PERCENT) -> Column:
+    """Whether two features of ``parity`` may belong to sets that are alike: sets
+    of n and m elements that differ in d are if (100 - percent) * (n + m) >=
+    (100 + percent) * d, and d is at least what sizes or sketches differ in."""
+    bits = [F.bit_count(x[f"w{i}"].bitwiseXOR(y[f"w{i}"])) for i in range(WORDS)]
+    least = F.greatest(F.abs(x["n"] - y["n"]), sum(bits[1:], bits[0]))
+    return (100 - percent) * (x["n"] + y["n"]) >= (100 + percent) * least
+
+
 def cut_after(hashes: Column, n: Column, sketch: int, keep: int) -> Column:
     """What band_keys reads of a part of the hashes."""
     return F.when(n > keep, F.slice(hashes, 1, largest_small(sketch, PERCENT) + 1)).otherwise(hashes)
@@ -176,11 +201,12 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
         return (F.least(F.size(x), F.size(y)) < 8) | (F.size(F.array_intersect(x, y)) >= PLAUSIBLE * ends)
 
     def load(ids: DataFrame) -> DataFrame:
-        return stored(texts_of(docs, places.join(ids.withColumnRenamed("id", "node"), "node", "left_semi"), id_col, text_col), "line-texts")
+        texts = texts_of(docs, places.join(ids.withColumnRenamed("id", "node"), "node", "left_semi"), id_col, text_col)
+        return stored(texts.withColumnRenamed("node", "id"), "line-texts")
 
     def verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
         # The texts meet, not the sets, which hold a hash for every character.
-        both = candidates.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("norm").alias("tb")), "b")
+        both = candidates.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b")
         sets = F.struct(shingles(F.col("ta"), width).alias("a"), shingles(F.col("tb"), width).alias("b"))
 
         def alike(s: Column) -> Column:
@@ -190,7 +216,7 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
         # Bound to a lambda, so that each set is made once a pair.
         return both.where(F.exists(F.array(sets), alike)).select("a", "b")
 
-    labels = link(members, verify, load=load, features=features, plausible=plausible)
+    labels = link(members, verify, load=load, features=features, plausible=plausible, sketch=lambda texts: parity(texts, width), possible=lambda x, y: possible(x, y, percent))
     labelled = stored(places.select("node", "first").join(labels.withColumnRenamed("id", "node"), "node"), "line-components")
     kept = labelled.groupBy("label").agg(F.min("first").alias("keep"))
     return labelled.join(kept, "label").select("node", "keep")

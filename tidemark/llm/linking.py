@@ -87,6 +87,12 @@ def stars(members: DataFrame, sizes: DataFrame, features: DataFrame | None, plau
     return met.select(F.least("o.id", "id").alias("a"), F.greatest("o.id", "id").alias("b")).distinct()
 
 
+def both_ends(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the features fa and fb of their ends."""
+    a, b = (features.select(F.col("id").alias(c), F.col("feature").alias(f"f{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b")
+
+
 def link(
     members: DataFrame,
     verify: Callable[..., DataFrame],
@@ -95,6 +101,8 @@ def link(
     load: Callable[[DataFrame], DataFrame] | None = None,
     features: DataFrame | None = None,
     plausible: Callable[[Column, Column], Column] | None = None,
+    sketch: Callable[[DataFrame], DataFrame] | None = None,
+    possible: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(id, label) of every id that ``verify`` linked to another one.
 
@@ -108,6 +116,8 @@ def link(
     are written once and handed to every call of ``verify`` as second argument.
     features, plausible: (id, feature) of every id, and a condition on two
     features that every link meets; other pairs are no candidates.
+    sketch, possible: the same, but surer: ``sketch`` makes (id, feature) of the rows
+    that ``load`` returned; from then on these take the place of the first two.
     """
     members = stored(shared(members), "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
@@ -123,6 +133,9 @@ def link(
         def confirm(pairs: DataFrame) -> DataFrame:
             return verify(pairs, rows_of)
 
+    if possible is not None:
+        features, plausible = stored(sketch(rows_of), "features"), possible
+        pairs = both_ends(pairs, features).where(plausible(F.col("fa"), F.col("fb"))).select("a", "b")
     edges = stored(confirm(pairs), "edges")
     found = components(edges)
     if refine is not None:
