@@ -54,6 +54,17 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
+def extended(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found`` (id, label) with the components that further ``edges`` (a, b)
+    join: only the labels of their ends are followed, not all edges so far."""
+    a, b = (found.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    ends = edges.join(a, "a", "left").join(b, "b", "left")
+    joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    new = joined.select(F.col("id").alias("label"), F.col("label").alias("least"))
+    old = found.join(new, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
+    return durable(old.unionByName(joined.join(found.select("id"), "id", "left_anti")))
+
+
 def mixed(members: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """(key, id, label) of the buckets of more than ``least`` members that hold
     members of different components."""
@@ -160,7 +171,7 @@ def link(
             meet = meet & plausible(F.col("x.feature"), F.col("y.feature"))
         pairs = stored(x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
-            edges = edges.unionByName(stored(confirm(pairs), "edges"))
-            found = components(edges)
+            edges = stored(confirm(pairs), "edges")
+            found = found if edges.isEmpty() else extended(found, edges)
         done, block = done + block, 8 * block
         large = rows.select("key", "id")
