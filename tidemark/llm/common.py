@@ -60,6 +60,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table written by ``stored`` that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_enough(rows: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether the rows may be broadcast; counts one more than allowed at most."""
     return rows.limit(most + 1).count() <= most

@@ -44,7 +44,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_BYTES, row_key, small_enough, stored, table
+from tidemark.llm.common import BROADCAST_BYTES, discard, row_key, small_enough, stored, table
 from tidemark.llm.linking import link
 
 SHINGLE = 8
@@ -201,6 +201,7 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
         return (F.least(F.size(x), F.size(y)) < 8) | (F.size(F.array_intersect(x, y)) >= PLAUSIBLE * ends)
 
     def load(ids: DataFrame) -> DataFrame:
+        discard(signed)  # members and first pairs are written by now
         texts = texts_of(docs, places.join(ids.withColumnRenamed("id", "node"), "node", "left_semi"), id_col, text_col)
         return stored(texts.withColumnRenamed("node", "id"), "line-texts")
 
