@@ -2,8 +2,10 @@
 
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tidemark.plans import oracle
 from tidemark.sources import bars, sinks
 
 
@@ -82,3 +84,16 @@ def sinks_move(k):
     from decimal import ROUND_HALF_UP, Decimal
 
     return Decimal(k / 8).quantize(Decimal("0.01"), ROUND_HALF_UP)
+
+
+def test_wave_report_halves(spark):
+    """Medians and means that end in half a hundredth, against the query's SQL."""
+    rows = [(f"s{k:03}", i, kind, "2024-01-01", 100.0, 101.0, sign * (k + i) / 100, 1 + k % 7 * i, i == 1 and sign > 0) for k in range(300) for kind, sign in (("up", 1), ("down", -1)) for i in (0, 1)]
+    columns = ["symbol", "seq", "type", "start_date", "start_val", "end_val", "pct", "days", "is_open"]
+    waves = spark.createDataFrame(rows, "symbol string, seq int, type string, start_date string, start_val double, end_val double, pct double, days int, is_open boolean")
+    con = duckdb.connect()
+    con.register("rows", waves.toPandas())
+    con.execute(f"CREATE TABLE waves AS SELECT {', '.join(columns)} FROM rows")
+    sql = oracle.oracle_sql()["wave_report"].replace(f"{oracle.RUNS}, ", "")
+    got = sorted(tuple(r) for r in sinks.wave_report(waves).collect())
+    assert got == sorted(con.execute(sql).fetchall()) and len(got) == 900

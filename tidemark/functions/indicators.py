@@ -16,6 +16,14 @@ def by_date() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("date")
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """``x`` times 10**places to the nearest whole number, halves away from zero, and
+    back, as SQL's ``round`` of a double.  ``F.round`` goes by the decimal digits instead:
+    of 0.565, whose hundredfold is just under 56.5, it makes 0.57 and SQL 0.56."""
+    value = F.col(x) if isinstance(x, str) else x
+    return F.round(value * 10.0**places, 0) / 10.0**places
+
+
 def positions(bars: DataFrame) -> DataFrame:
     return bars.withColumn("i", F.row_number().over(by_date()) - 1).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.indicators import rounded
+
 WIN_RATES = [w / 10 for w in range(10, 0, -1)]
 
 
@@ -94,7 +96,7 @@ def sign_runs(bars: DataFrame) -> DataFrame:
 
 def measured(runs: DataFrame) -> DataFrame:
     points = F.abs(F.col("end_val") - F.col("start_val"))
-    return runs.withColumn("pct", F.round((F.col("end_val") / F.col("start_val") - 1) * 100, 2)).withColumn("point_change", points).withColumn("vpp", F.when(points > 0, F.col("total_vol") / points))
+    return runs.withColumn("pct", rounded((F.col("end_val") / F.col("start_val") - 1) * 100, 2)).withColumn("point_change", points).withColumn("vpp", F.when(points > 0, F.col("total_vol") / points))
 
 
 def vpp_by_type(waves: DataFrame) -> DataFrame:
@@ -102,13 +104,13 @@ def vpp_by_type(waves: DataFrame) -> DataFrame:
     waves to each type."""
     means = waves.groupBy("symbol", "type").agg(F.avg("vpp").alias("vpp"), F.count("*").alias("n_waves"))
     ranges = means.where("type = 'range'").select("symbol", F.col("vpp").alias("range_vpp"))
-    return means.join(ranges, "symbol", "left").select("symbol", "type", "n_waves", F.round("vpp", 4).alias("mean_vpp"), F.round(F.col("range_vpp") / F.col("vpp"), 4).alias("range_ratio"))
+    return means.join(ranges, "symbol", "left").select("symbol", "type", "n_waves", rounded("vpp", 4).alias("mean_vpp"), rounded(F.col("range_vpp") / F.col("vpp"), 4).alias("range_ratio"))
 
 
 def wave_statistics(waves: DataFrame) -> DataFrame:
     return waves.groupBy("symbol", "type").agg(
-        F.count("*").alias("n_waves"), F.round(F.avg("pct"), 4).alias("mean_pct"), F.round(F.median("pct"), 4).alias("median_pct"), F.min("pct").alias("min_pct"), F.max("pct").alias("max_pct"),
-        F.round(F.avg("days"), 4).alias("mean_days"), F.round(F.median("days"), 4).alias("median_days"),
+        F.count("*").alias("n_waves"), rounded(F.avg("pct"), 4).alias("mean_pct"), rounded(F.median("pct"), 4).alias("median_pct"), F.min("pct").alias("min_pct"), F.max("pct").alias("max_pct"),
+        rounded(F.avg("days"), 4).alias("mean_days"), rounded(F.median("days"), 4).alias("median_days"),
     )
 
 
@@ -120,7 +122,7 @@ def wave_flow(waves: DataFrame, flows: DataFrame) -> DataFrame:
     sums = flows.select("symbol", "date", F.sum("flow").over(running).alias("upto"))
     begin, end = (sums.select("symbol", F.col("date").alias(f"{c}_date"), F.col("upto").alias(c)) for c in ("start", "end"))
     rows = waves.join(begin, ["symbol", "start_date"]).join(end, ["symbol", "end_date"])
-    return rows.groupBy("symbol", "type").agg(F.count("*").alias("n_waves"), F.round(F.avg(F.col("end") - F.col("start")), 2).alias("mean_flow"))
+    return rows.groupBy("symbol", "type").agg(F.count("*").alias("n_waves"), rounded(F.avg(F.col("end") - F.col("start")), 2).alias("mean_flow"))
 
 
 def ratios(waves: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def ratios(waves: DataFrame) -> DataFrame:
 def symmetry(waves: DataFrame) -> DataFrame:
     rows = ratios(waves).where("ratio is not null")
     near = F.col("ratio").between(0.8, 1.25)
-    return rows.groupBy("symbol", "type").agg(F.count("*").alias("n_pairs"), F.round(100 * F.avg("ratio"), 2).alias("mean_ratio_pct"), F.round(100 * F.avg(near.cast("double")), 2).alias("near_pct"))
+    return rows.groupBy("symbol", "type").agg(F.count("*").alias("n_pairs"), rounded(100 * F.avg("ratio"), 2).alias("mean_ratio_pct"), rounded(100 * F.avg(near.cast("double")), 2).alias("near_pct"))
 
 
 def exhaustion(waves: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def exhaustion(waves: DataFrame) -> DataFrame:
     less volume than that predecessor and were followed by another type."""
     rows = waves.withColumn("prev_vol", F.lag("total_vol").over(Window.partitionBy("symbol", "type").orderBy("seq"))).withColumn("next_type", F.lead("type").over(Window.partitionBy("symbol").orderBy("seq"))).where("prev_vol is not null and next_type is not null")
     hit = (F.col("total_vol") < F.col("prev_vol")) & (F.col("next_type") != F.col("type"))
-    return rows.groupBy("symbol").agg(F.count("*").alias("n_waves"), F.sum(hit.cast("long")).alias("n_hits"), F.round(100 * F.avg(hit.cast("double")), 2).alias("accuracy"))
+    return rows.groupBy("symbol").agg(F.count("*").alias("n_waves"), F.sum(hit.cast("long")).alias("n_hits"), rounded(100 * F.avg(hit.cast("double")), 2).alias("accuracy"))
 
 
 def winrate_levels(waves: DataFrame) -> DataFrame:
@@ -155,10 +157,10 @@ def winrate_levels(waves: DataFrame) -> DataFrame:
     picked = groups.join(ordered.drop("n"), ["symbol", "type", "at"])
     now = found.where("is_open and prev_pct is not null").select("symbol", "type", "start_val", "end_val", "prev_pct")
     sign = F.when(F.col("type") == "down", -1.0).otherwise(1.0)
-    target = F.round(F.col("ratio") * F.col("prev_pct"), 2)
-    price = F.round(F.col("start_val") * (1 + sign * F.col("ratio") * F.col("prev_pct") / 100), 2)
+    target = rounded(F.col("ratio") * F.col("prev_pct"), 2)
+    price = rounded(F.col("start_val") * (1 + sign * F.col("ratio") * F.col("prev_pct") / 100), 2)
     reached = F.when(F.col("type") == "down", F.col("end_val") <= price).otherwise(F.col("end_val") >= price)
-    return picked.join(now, ["symbol", "type"]).select("symbol", "type", F.round("win_rate", 1).alias("win_rate"), F.round("ratio", 4).alias("ratio"), target.alias("target_pct"), price.alias("price"), reached.alias("reached"))
+    return picked.join(now, ["symbol", "type"]).select("symbol", "type", rounded("win_rate", 1).alias("win_rate"), rounded("ratio", 4).alias("ratio"), target.alias("target_pct"), price.alias("price"), reached.alias("reached"))
 
 
 def open_wave(waves: DataFrame, bars: DataFrame) -> DataFrame:
@@ -170,16 +172,16 @@ def open_wave(waves: DataFrame, bars: DataFrame) -> DataFrame:
     inside = bars.join(now, "symbol").where(F.col("date") >= F.col("start_date")).groupBy("symbol").agg(F.max("close").alias("peak"), F.min("close").alias("trough"), F.sum("volume").alias("flow"))
     ups = waves.where("type = 'up' and not is_open").groupBy("symbol").agg(F.avg("pct").alias("mean_up"), F.median("pct").alias("median_up"), F.max("pct").alias("max_up"), F.max("days").alias("max_days"))
     rows = now.join(inside, "symbol").join(ups, "symbol", "left")
-    mean, median = (F.round(F.col("trough") * (1 + F.col(c) / 100), 3) for c in ("mean_up", "median_up"))
+    mean, median = (rounded(F.col("trough") * (1 + F.col(c) / 100), 3) for c in ("mean_up", "median_up"))
     return rows.select(
         "symbol", "type", "start_date", "days", "peak", "trough", "flow",
-        F.round((F.col("end_val") / F.col("start_val") - 1) * 100, 2).alias("cumulative_pct"),
-        F.round((F.col("peak") / F.col("trough") - 1) * 100, 2).alias("peak_pct"),
+        rounded((F.col("end_val") / F.col("start_val") - 1) * 100, 2).alias("cumulative_pct"),
+        rounded((F.col("peak") / F.col("trough") - 1) * 100, 2).alias("peak_pct"),
         mean.alias("mean_target"),
         (F.col("end_val") >= mean).alias("mean_passed"),
         median.alias("median_target"),
         (F.col("end_val") >= median).alias("median_passed"),
-        F.round(F.col("start_val") * (1 + F.col("max_up") / 100), 2).alias("ceiling"),
+        rounded(F.col("start_val") * (1 + F.col("max_up") / 100), 2).alias("ceiling"),
         (F.col("max_days") - F.col("days")).alias("days_left"),
         advice(F.col("type"), F.col("peak") >= F.col("trough") * (1 + F.col("mean_up") / 100)).alias("advice"),
     )

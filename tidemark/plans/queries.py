@@ -180,7 +180,7 @@ def window_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = winrate(spark, sf_dir)
+    found = winrate(spark, sf_dir).withColumns({"win_rate": ind.rounded(F.col("win_rate"), 2), "median_profit": ind.rounded(F.col("median_profit"), 3)})
     return sinks.report_lines(found, "%4d | %3d | %8d | %8.2f | %8.3f", ["horizon", "signal", "n_signals", "win_rate", "median_profit"])
 
 

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.indicators import rounded
+
 
 def envelope(signals: DataFrame, summary: DataFrame, future_days: list[int] | None = None, updated: Column | None = None) -> DataFrame:
     """One JSON document per symbol: {symbol, data_range, total_days,
@@ -111,10 +113,11 @@ def pattern_rows(scan: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
 def wave_report(waves: DataFrame) -> DataFrame:
     """Report lines (symbol, section, value): the open wave, then each type's
-    count, mean and median size and mean days."""
+    count, mean and median size and mean days.  Medians of an even count often end
+    in half a hundredth, so halves are rounded as in SQL."""
     now = waves.where("is_open").select("symbol", F.lit(1).alias("section"), F.format_string("open wave: %-5s since %s (%.2f), now %.2f, %.2f%%, %d days", "type", F.col("start_date").cast("string"), "start_val", "end_val", "pct", "days").alias("value"))
     size = F.abs("pct")
-    types = waves.groupBy("symbol", "type").agg(F.count("*").alias("n"), F.round(F.avg(size), 2).alias("mean"), F.round(F.median(size), 2).alias("median"), F.round(F.avg("days"), 1).alias("days"))
+    types = waves.groupBy("symbol", "type").agg(F.count("*").alias("n"), rounded(F.avg(size), 2).alias("mean"), rounded(F.median(size), 2).alias("median"), rounded(F.avg("days"), 1).alias("days"))
     return now.unionByName(types.select("symbol", F.lit(2).alias("section"), F.format_string("%-5s waves: %5d, mean %6.2f%% (median %6.2f%%), %5.1f days", "type", "n", "mean", "median", "days").alias("value")))
 
 
