@@ -115,14 +115,49 @@ def status_counts(scans: DataFrame) -> DataFrame:
     return scans.groupBy("period", "direction", "status").agg(F.count("*").alias("n"))
 
 
-def top_cosine(vectors: DataFrame, every: int = 20) -> DataFrame:
+def top_cosine(vectors: DataFrame, every: int = 20, block: int = 2048) -> DataFrame:
     """(vec_id, match_id, similarity): the nearest other vector of each query
-    (ids divisible by ``every``) in its own label block; ``nearest`` searches all."""
-    unit = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = unit.where(F.col("vec_id") % every == 0).select("label", F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    pairs = unit.join(q, "label").where("vec_id <> q").select("q", "vec_id", F.round(cosine("qv", "v"), 4).alias("similarity"))
-    best = pairs.groupBy("q").agg(F.max(F.struct("similarity", (-F.col("vec_id")).alias("m"))).alias("b"))
-    return best.select(F.col("q").alias("vec_id"), (-F.col("b.m")).alias("match_id"), F.col("b.similarity").alias("similarity"))
+    (ids divisible by ``every``) in its own label block; ``nearest`` searches all.
+
+    A label's queries and vectors are dealt into blocks of about ``block``, and every
+    block of queries meets every block of vectors of its label in a task, wherever it
+    runs, and keeps one row a query: pairs are never made as rows, and a label of most
+    rows is as many tasks as it has blocks.  Ties go to the smaller id.  Null components, and
+    those that a shorter vector lacks, count as 0; with a vector that has none there
+    is no similarity (null), and it comes after all others; with a zero vector it is
+    NaN, which comes first, both as in the query's SQL."""
+    rows = vectors.where("vec_id is not null and label is not null").select("vec_id", "label", "embedding")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    known = F.coalesce(F.exists("embedding", lambda x: x.isNotNull()), F.lit(False))
+    part = lambda i: F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0))
+    rows = rows.select("vec_id", "label", known.alias("known"), F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)), part).alias("v"))
+    counts = rows.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.greatest(F.lit(1), F.ceil(F.sum((F.col("vec_id") % every == 0).cast("int")) / block)).cast("int").alias("nq"))
+    rows = rows.join(counts, "label").withColumn("h", F.xxhash64("vec_id"))
+    held = lambda c: [F.collect_list("vec_id").alias(f"{c}_ids"), F.collect_list("known").alias(f"{c}_known"), F.flatten(F.collect_list("v")).alias(f"{c}_v")]
+    e = rows.groupBy("label", F.pmod("h", "n").alias("e")).agg(*held("e"))
+    q = rows.where(F.col("vec_id") % every == 0).groupBy("label", F.pmod("h", "nq").alias("q")).agg(F.first("n").alias("n"), *held("q"))
+    q = q.withColumn("e", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q, e, qk, ek, qv, ev in zip(*(batch[c] for c in held_columns), strict=True):
+                order = np.argsort(e, kind="stable")
+                q, e, ek = np.asarray(q), np.asarray(e)[order], np.asarray(ek, bool)[order]
+                qv, ev = np.asarray(qv).reshape(len(q), -1), np.asarray(ev).reshape(len(e), -1)[order]
+                with np.errstate(all="ignore"):
+                    found = np.round(qv @ ev.T / np.sqrt(np.outer((qv * qv).sum(1), (ev * ev).sum(1))), 4)
+                found[np.isnan(found)] = 4  # of a zero vector; the largest, as in SQL
+                found[~(np.asarray(qk, bool)[:, None] & ek[None, :])] = -2
+                found[q[:, None] == e[None, :]] = -3
+                at = found.argmax(1)  # the first, so the smaller id
+                out = pd.DataFrame({"vec_id": q, "match_id": e[at], "similarity": found[np.arange(len(q)), at]})
+                yield out[out["similarity"] > -3]
+
+    held_columns = ["q_ids", "e_ids", "q_known", "e_known", "q_v", "e_v"]
+    kept = q.join(e, ["label", "e"]).select(*held_columns).mapInPandas(best, "vec_id long, match_id long, similarity double")
+    top = kept.groupBy("vec_id").agg(F.max(F.struct("similarity", (-F.col("match_id")).alias("m"))).alias("b"))
+    similarity = F.when(F.col("b.similarity") == 4, F.lit(float("nan"))).when(F.col("b.similarity") > -2, F.col("b.similarity"))
+    return top.select("vec_id", (-F.col("b.m")).alias("match_id"), similarity.alias("similarity"))
 
 
 def nearest(vectors: DataFrame, every: int = 20, block: int = 1024) -> DataFrame:
