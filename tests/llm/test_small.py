@@ -429,3 +429,44 @@ def test_warc_copies_and_empty(spark, tmp_path):
     want = sorted((i, 0 if i in (29, 30) else 29 if i % 3 else 30, "response" if i in (29, 30) else "revisit") for i, *_ in pages)
     assert got == want
     assert warc_zip.read_packages(warc_zip.write_packages(df.limit(0), folder), folder).count() == 0
+
+
+def test_matches_of_whole_texts():
+    """Every match, with its context and quotes, against a search of each word; words
+    far from all terms never walk the trie."""
+    tox = toxicity
+
+    class Walked(dict):
+        n = 0
+
+        def items(self):
+            Walked.n += 1
+            return super().items()
+
+    trie = tox.Trie(["idiot", "moron"])
+    trie.root = Walked(trie.root)
+    for far in ("carrot", "unfit", "idiotical", "mot"):
+        assert trie.near(far) is None
+    assert Walked.n == 0
+    assert trie.near("idot") == ("idiot", 1)
+
+    rng = random.Random(4)
+    terms, stems = ["idiot", "moron", "sot", "stupid", "dümmer"], ["troll", "scum"]
+    bits = ["idiot", "id1ot", "idiots", "idot", "xidiot", "st*pid", "so7", "so", "trolling", "scums", "Dümmer", "dumer", "²moron", "mor_on", "a1idiot", "big+moron", "fine", "day", "12", "x_y", "élan"]
+    gaps = [" ", ", ", "\n", '"', "'", "(", "-", " ", "—", "”", "."]
+    matcher = tox.Matcher(terms, stems, most=30)
+    plain = tox.Matcher(terms, stems)
+    for k in range(400):
+        text = "".join(rng.choice(bits) + rng.choice(gaps) for _ in range(rng.randrange(12)))
+        lower, places = text.lower(), []
+        for m in tox.WIDE.finditer(lower):
+            places += [m] if m[0].isalpha() or plain.word(m[0]) else list(tox.WORD.finditer(lower, *m.span()))
+        words = [m[0] for m in places]
+        want = []
+        for i, m in enumerate(places):
+            if term := plain.word(m[0]):
+                a, b = m.span()
+                around = words[max(0, i - tox.SPAN) : i] + words[i + 1 : i + 1 + tox.SPAN]
+                want.append((term, around, any(c in tox.QUOTES for c in lower[max(0, a - 1) : a] + lower[b : b + 1])))
+        assert matcher(text) == want, text
+    assert matcher(None) == []

@@ -56,6 +56,9 @@ QUOTES = "\"'“”„«»‘’`"
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that run on over inner digits and signs.
 WIDE = re.compile(r"[^\W\d_]+(?:[\d*@$!#%&+_|]{1,2}[^\W\d_]+)*")
+#: Stretches of text over whose borders no word goes; for ASCII texts all else becomes a space.
+STRETCH = re.compile(r"[\w*@$!#%&+|]+")
+APART = {i: " " for i in range(128) if not STRETCH.match(chr(i))}
 EVIDENCE = ["best", "total", "matches", "quoted"]
 
 
@@ -86,16 +89,27 @@ class Trie:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-        self.heads, self.tails = {t[:2] for t in terms}, {t[-2:] for t in terms}
+        # By a word's length: the halves of which one is left whole by one edit.
+        halves: dict[int, dict[tuple[bool, int], set[str]]] = {}
+        for t in terms:
+            half = len(t) // 2
+            for n in (len(t) - 1, len(t), len(t) + 1):
+                some = halves.setdefault(n, {})
+                some.setdefault((True, half), set()).add(t[:half])
+                some.setdefault((False, len(t) - half), set()).add(t[half:])
+        self.halves = {n: [(slice(k) if head else slice(max(0, n - k), None), found) for (head, k), found in some.items()] for n, some in halves.items()}
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The closest term within one edit.  States of the automaton are
         (position in the word, edits); they walk the trie together.  One edit
-        leaves the first or the last two letters of a term in place."""
-        if word[:2] not in self.heads and word[-2:] not in self.tails:
+        leaves the first or the second half of a term in place."""
+        n = len(word)
+        for part, some in self.halves.get(n, ()):
+            if word[part] in some:
+                break
+        else:
             return None
         best = None
-        n = len(word)
         todo = [(self.root, {(0, 0)})]
         while todo:
             node, states = todo.pop()
@@ -120,7 +134,11 @@ class Matcher:
         # One edit of a short word is often another word; what it means is learned, as term/1.
         self.trie = Trie([w for w in words if len(w) >= 4])
         self.wide = Trie(words)
-        self.most, self.known = most, {}
+        self.most = most
+        self.seen: set[str] = set()  # stretches of text that were looked at,
+        self.hits: set[str] = set()  # those of them with a match,
+        self.known: dict[str, str] = {}  # the words with one, and those that are read
+        self.odd: set[str] = set()  # as the words between their digits and signs
 
     def word(self, w: str) -> str | None:
         """The matched term with its distance, as 'term/0', 'term/1' or 'stem*/0'."""
@@ -134,32 +152,50 @@ class Matcher:
             return f"{found[0]}/{found[1]}"
         return None
 
+    def may_match(self, lower: str) -> bool:
+        """Whether any word of the text is a match: most texts hold none, and need no
+        places.  A stretch is looked at once."""
+        stretches = set(lower.translate(APART).split() if lower.isascii() else STRETCH.findall(lower))
+        if len(self.seen) > self.most:
+            self.seen, self.hits, self.known, self.odd = set(), set(), {}, set()
+        new = stretches - self.seen
+        self.seen |= new
+        for stretch in new:
+            if stretch.isalpha():
+                if self.look(stretch):
+                    self.hits.add(stretch)
+                continue
+            for w in WIDE.findall(stretch):
+                if self.look(w):
+                    self.hits.add(stretch)
+                elif not w.isalpha():
+                    # What is no term with its digits and signs is read as the words between them.
+                    self.odd.add(w)
+                    if any([self.look(p) for p in WORD.findall(w)]):
+                        self.hits.add(stretch)
+        return not self.hits.isdisjoint(stretches)
+
+    def look(self, w: str) -> str | None:
+        found = self.word(w)
+        if found:
+            self.known[w] = found
+        return found
+
     def __call__(self, text: str | None) -> list[tuple[str, list[str], bool]]:
         """(match, context words, quoted) for every match of the whole text."""
         text = text or ""
         lower = text.lower()
-        tokens = set(WIDE.findall(lower))
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        # What is no term with its digits and signs is read as the words between them.
-        apart = set()
-        for w in tokens:
-            if w not in known:
-                known[w] = self.word(w)
-            if not known[w] and not w.isalpha():
-                apart.add(w)
-        for w in {p for w in apart for p in WORD.findall(w)} - tokens:
-            tokens.add(w)
-            if w not in known:
-                known[w] = self.word(w)
-        if not any(known[w] for w in tokens):
+        if not self.may_match(lower):
             return []
+        known, odd = self.known, self.odd
         places = []
         for m in WIDE.finditer(lower):
-            places += WORD.finditer(lower, *m.span()) if m[0] in apart else [m]
+            if m[0] in odd:
+                places += WORD.finditer(lower, *m.span())
+            else:
+                places.append(m)
         tokens = [m[0] for m in places]
-        spans = {i: m.span() for i, m in enumerate(places) if known[m[0]]}
+        spans = {i: places[i].span() for i, w in enumerate(tokens) if w in known}
         out = []
         for i, (a, b) in spans.items():
             context = tokens[max(0, i - SPAN) : i] + tokens[i + 1 : i + 1 + SPAN]
