@@ -58,6 +58,24 @@ def test_components(spark):
     assert linking.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_are_followed_in_one_task(spark):
+    """Every task that writes or shuffles makes files, so a few edges over many partitions filled the disk and the driver."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)], "a long, b long").repartition(16)
+    found = linking.components(edges)
+    assert found.rdd.getNumPartitions() == 1
+    more = linking.extended(found, spark.createDataFrame([(1, 2), (59, 100)], "a long, b long").repartition(16))
+    assert {r["id"]: r["label"] for r in more.collect()} == {i: 0 if i < 4 else i - i % 2 for i in range(60)} | {100: 58}
+    assert "Exchange" not in linking.gathered(edges).groupBy("a").count()._jdf.queryExecution().executedPlan().toString().split("Coalesce")[0]
+
+
+def test_members_of_shared_buckets(spark):
+    rows = [(1, 10), (1, 11), (2, 10), (3, 10), (3, 11), (3, 12), (3, 13)]
+    members = linking.shared(spark.createDataFrame(rows, "key long, id long"))
+    assert sorted(map(tuple, members.collect())) == [(1, 10, 2), (1, 11, 2)] + [(3, i, 4) for i in (10, 11, 12, 13)]
+    # 10 and 11 meet most others; of these the smaller one is the centre.
+    assert sorted(map(tuple, linking.stars(members).collect())) == [(10, 11), (10, 12), (10, 13), (11, 12), (12, 13)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_minhash(spark, seed):
     texts = random_texts(60, seed, lines=1)
@@ -144,6 +162,16 @@ def test_line_dedup_recall(spark):
     assert set(missed) <= {60} and len(missed) <= 0.0005 * 4000
 
 
+def test_line_dedup_band_rows(spark):
+    """The keys made in generated code are those of ``band_keys``, for sets of every size and for whole and partial ones."""
+    rng = random.Random(21)
+    sets = [(i, n, sorted(rng.sample(range(-(2**31), 2**31), k))) for i, (n, k) in enumerate([(n, k) for k in range(1, 45) for n in (0, k, 30, 31, 60, 300, 5000)])]
+    signed = spark.createDataFrame(sets, "node long, n int, hashes array<int>")
+    got = {(r["key"], r["id"]) for r in line_dedup.band_rows(signed, line_dedup.SKETCH, 80, line_dedup.KEEP).collect()}
+    keys = signed.select("node", F.explode(line_dedup.band_keys(F.col("hashes"), line_dedup.SKETCH, 80, F.col("n"))).alias("key"))
+    assert got == {(r["key"], r["node"]) for r in keys.collect()} and len({i for _, i in got}) == len(sets)
+
+
 def test_line_dedup_parity_sketch(spark):
     """No pair that is alike is ruled out, also of long lines with repeats; most others are."""
     rng = random.Random(15)

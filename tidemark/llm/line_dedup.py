@@ -44,7 +44,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_BYTES, discard, row_key, small_enough, stored, table
+from tidemark.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, discard, row_key, small_enough, stored, table
 from tidemark.llm.linking import link
 
 SHINGLE = 8
@@ -132,6 +132,18 @@ def band_keys(hashes: Column, sketch: int, percent: int, n: Column | None = None
     return F.array_distinct(keys)
 
 
+def band_rows(signed: DataFrame, sketch: int, percent: int, keep: int) -> DataFrame:
+    """(key, id) of all ``band_keys`` of (node, n, hashes).  Runs alone, which is
+    what all but small sets have, are hashed in generated code, to the same keys."""
+    n, k, left = F.col("n"), F.size("hashes"), F.lit(float(largest_small(sketch, percent) * keep)) / F.greatest(F.col("n"), F.lit(1))
+    plain = (k > largest_small(sketch, percent)) | ((n > keep) & (k > left + 4 * F.sqrt(left) + 2))
+    signed = signed.withColumn("plain", F.coalesce(plain, F.lit(False)) & (k >= RUN))
+    places = signed.where("plain").select("node", "hashes", F.explode(F.sequence(F.lit(0), F.least(F.lit(sketch), k) - RUN)).alias("i"))
+    runs = places.select(F.xxhash64(*[F.get("hashes", F.col("i") + j) for j in range(RUN)]).alias("key"), F.col("node").alias("id"))
+    others = signed.where("not plain").select(F.explode(band_keys(F.col("hashes"), sketch, percent, n, keep)).alias("key"), F.col("node").alias("id"))
+    return runs.unionByName(others)
+
+
 def largest_small(sketch: int, percent: int) -> int:
     """The largest set that can match one of fewer than ``sketch``."""
     return 100 * (sketch - 1) // percent
@@ -191,7 +203,7 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
     upper = F.transform(shingles(F.col("norm"), width), lambda h: F.shiftright(h, 32).cast("int"))
     remade = whole.select("node", F.lit(0).alias("n"), F.sort_array(F.array_distinct(upper)).alias("hashes"))
     signed = signed.where(f"n <= {keep} or size(hashes) >= {heads}").unionByName(stored(remade, "line-signatures"))
-    members = signed.select(F.explode(band_keys(F.col("hashes"), sketch, percent, F.col("n"), keep)).alias("key"), F.col("node").alias("id"))
+    members = band_rows(signed, sketch, percent, keep)
     features = signed.select(F.col("node").alias("id"), F.slice("hashes", 1, sketch).alias("feature"))
 
     def plausible(x: Column, y: Column) -> Column:
@@ -206,7 +218,11 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
         return stored(texts.withColumnRenamed("node", "id"), "line-texts")
 
     def verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-        # The texts meet, not the sets, which hold a hash for every character.
+        # The texts meet, not the sets, which hold a hash for every character; of
+        # few pairs only the texts that they name are shuffled.
+        if 2 * candidates.count() <= BROADCAST_ROWS:
+            ends = candidates.select(F.explode(F.array("a", "b")).alias("id"))
+            texts = texts.join(F.broadcast(ends), "id", "left_semi")
         both = candidates.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b")
         sets = F.struct(shingles(F.col("ta"), width).alias("a"), shingles(F.col("tb"), width).alias("b"))
 
@@ -217,7 +233,7 @@ def keepers(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, widt
         # Bound to a lambda, so that each set is made once a pair.
         return both.where(F.exists(F.array(sets), alike)).select("a", "b")
 
-    labels = link(members, verify, load=load, features=features, plausible=plausible, sketch=lambda texts: parity(texts, width), possible=lambda x, y: possible(x, y, percent))
+    labels = link(members, verify, block=64, load=load, features=features, plausible=plausible, sketch=lambda texts: parity(texts, width), possible=lambda x, y: possible(x, y, percent))
     labelled = stored(places.select("node", "first").join(labels.withColumnRenamed("id", "node"), "node"), "line-components")
     kept = labelled.groupBy("label").agg(F.min("first").alias("keep"))
     return labelled.join(kept, "label").select("node", "keep")
