@@ -73,6 +73,50 @@ def test_graph_recall():
     assert (found <= there).all() and found.sum() >= 0.999 * there.sum() and len(q) == found.sum()
 
 
+def test_graph_backward():
+    """A node of a dense group that no other links to is found by its own links."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(2000, 32)), rng.normal(size=(1, 32)) + 0.1 * rng.normal(size=(200, 32))])
+    units = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    graph = Graph(units, levels(len(units)))
+    for layer in graph.layers:
+        layer[layer == 2100] = -1
+    q, e = graph.within(units[2000:2100], 0.9, 32)
+    assert (e == 2100).sum() == (units[2000:2100] @ units[2100] >= 0.9).sum() == 100
+
+
+def test_cells(spark, monkeypatch):
+    """A class is searched for in a few of many shards, none of which is large, and
+    no link is lost: of pairs, of groups, of one group larger than a shard."""
+    from tidemark.llm import embedding_dedup
+
+    rng = np.random.default_rng(8)
+    found = rng.normal(size=(1500, 32)).tolist() + groups(rng, 20, 40, 32)
+    found += (rng.normal(size=32) + 0.1 * rng.normal(size=(200, 32))).tolist()
+    found += (np.array(found[:100]) + 0.2 * rng.normal(size=(100, 32))).tolist()
+    x = np.array(found, "f4").astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    link = x @ x.T >= 0.9
+    label = np.arange(len(x))
+    for _ in range(20):
+        label = np.where(link, label[None], len(x)).min(1)
+    want = [(i, int(n) - 1, int(k)) for i, (n, k) in enumerate(zip(link.sum(1), label, strict=True))]
+    calls = []
+
+    def spy(df, count, part, order):
+        calls.append((df, part))
+        return by_part(df, count, part, order)
+
+    by_part = embedding_dedup.by_part
+    monkeypatch.setattr(embedding_dedup, "by_part", spy)
+    df = spark.createDataFrame(list(enumerate(np.array(found, "f4").tolist())), "vec_id long, embedding array<float>")
+    got = near_embeddings(df, shard_rows=100).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+    sizes = [r["count"] for r in calls[0][0].groupBy(calls[0][1]).count().collect()]
+    asked = calls[-1][0].where("kind = 1").count()
+    assert len(sizes) > 25 and max(sizes) < 200 and asked < 0.3 * len(sizes) * len(found)
+
+
 def test_hard_negatives(spark):
     rows = odd_vectors() + [(100, odd_vectors()[3][1], 2), (200, odd_vectors()[30][1], 3)]
     fit = sorted({(i, tuple(math.floor(256 * x) for x in map(float, np.array(v, "f4"))), k) for i, v, k in rows if i is not None and k is not None and usable(v)})
